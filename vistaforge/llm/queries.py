@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaforge.llm import clusters, neardup, neighbours, ranking, subset
+from vistaforge.llm import clusters, leakage, neardup, neighbours, packing, ranking, repetition, subset
 
 CRITERIA = ["sims", "confidence", "num_inliers", "scale_factor_max"]
 
@@ -71,8 +71,32 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.cluster_report(rows, clusters.cluster_labels(rows))
 
 
+def _capacity(spark: SparkSession, d: str) -> int:
+    return int(_t(spark, d, "pack_capacity").agg(F.min("capacity_tokens")).first()[0])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.split_documents(packing.pack(_t(spark, d, "documents"), _capacity(spark, d)))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_t(spark, d, "documents"), _capacity(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repetitive_documents(_t(spark, d, "documents"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repetition(_t(spark, d, "documents"), exact_everywhere=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_leximin, p3_found, p3_neighbours, p4_subset, p5_found, p5_clusters)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_leximin, p3_found, p3_neighbours, p4_subset, p5_found, p5_clusters, p6_found, p6_containers, p7_found, p8_found, p8_shares)}
 
 
 _P2 = """
