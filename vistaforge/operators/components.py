@@ -54,7 +54,7 @@ def merge_local_labels(nodes: DataFrame, node: str, label: str) -> DataFrame:
     ``nodes`` has a row for every (node, label) that some task gave; a node seen by one task alone costs no
     join, since components are only computed over the labels that a shared node ties together.
     """
-    seen = nodes.select(F.col(node).alias("node"), F.col(label).alias("label")).filter("node is not null and label is not null")
+    seen = cut(nodes.select(F.col(node).alias("node"), F.col(label).alias("label")).filter("node is not null and label is not null"))
     per_node = cut(seen.groupBy("node").agg(F.min("label").alias("label"), F.max("label").alias("top")))
     tied = per_node.filter("top <> label")
     if tied.isEmpty():
