@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -16,6 +16,11 @@ def _d(x: Column) -> Column:
     return x.cast("double")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: a lambda that names an outer expression would compute it per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: _d(x) * _d(y)), F.lit(0.0), lambda s, x: s + x)
 
@@ -30,15 +35,14 @@ def l2_norm(v: Column | str) -> Column:
 
 def l2_normalize(v: Column | str) -> Column:
     """Length one; a zero vector stays zero, NULL stays NULL."""
-    n = l2_norm(v)
-    return F.transform(_c(v), lambda x: F.when(n > 0, _d(x) / n).otherwise(0.0))
+    return let(l2_norm(v), lambda n: F.transform(_c(v), lambda x: F.when(n > 0, _d(x) / n).otherwise(0.0)))
 
 
 def root_sift(v: Column | str, eps: float = 1e-6) -> Column:
     """L1 norm, floor at ``eps``, square root, L2 norm."""
     total = F.greatest(F.aggregate(_c(v), F.lit(0.0), lambda s, x: s + F.abs(_d(x))), F.lit(eps))
-    rooted = F.transform(_c(v), lambda x: F.sqrt(F.greatest(_d(x) / total, F.lit(eps))))
-    return l2_normalize(rooted)
+    rooted = let(total, lambda t: F.transform(_c(v), lambda x: F.sqrt(F.greatest(_d(x) / t, F.lit(eps)))))
+    return let(rooted, lambda r: l2_normalize(r))
 
 
 def quantize(v: Column | str) -> Column:

@@ -30,21 +30,19 @@ def matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def top_pairs(qid: np.ndarray, q: np.ndarray, did: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` greatest scores of every row of ``score`` (queries x rows), ties to the least id."""
-    k = min(k, score.shape[1])
-    order = np.lexsort((np.broadcast_to(did, score.shape), -np.round(score, 9)), axis=1)[:, :k] if score.shape[1] <= 4 * k else _partial(score, did, k)
+    """The ``k`` greatest scores, rounded to six digits, of every row of ``score`` (queries x rows), ties to the least id."""
+    k, score = min(k, score.shape[1]), np.round(score, 6)
+    if score.shape[1] <= 4 * k:
+        order = np.lexsort((np.broadcast_to(did, score.shape), -score), axis=1)[:, :k]
+    else:
+        kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        order = np.empty((len(score), k), np.int64)
+        for i, row in enumerate(score):
+            at = np.flatnonzero(row >= kth[i])
+            order[i] = at[np.lexsort((did[at], -row[at]))[:k]]
     return pd.DataFrame({"query_id": np.repeat(qid, k), "image_id": did[order].ravel(), "value": np.take_along_axis(score, order, 1).ravel()})
 
 
-def _partial(score: np.ndarray, did: np.ndarray, k: int) -> np.ndarray:
-    kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]
-    out = np.empty((len(score), k), np.int64)
-    for i, row in enumerate(score):
-        at = np.flatnonzero(row >= kth[i] - 1e-9)
-        out[i] = at[np.lexsort((did[at], -np.round(row[at], 9)))[:k]]
-    return out
-
-
 def blocked_topk(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "image_id", vec_col: str = "embedding", keep_self: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
     """``(query_id, image_id, value, rank)``: exact top ``k`` rows of ``df`` for each query vector.
 

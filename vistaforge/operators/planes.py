@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vistaforge.functions.vectors import l2_normalize, let
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -21,8 +23,8 @@ def _c(c: Column | str) -> Column:
 def softmax(v: Column | str, temperature: float = 1.0) -> Column:
     """Softmax of an array, in double precision, shifted by its maximum."""
     v = _c(v)
-    e = F.transform(v, lambda x: F.exp((x.cast("double") - F.array_max(v).cast("double")) * temperature))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    e = let(F.array_max(v).cast("double"), lambda m: F.transform(v, lambda x: F.exp((x.cast("double") - m) * temperature)))
+    return let(e, lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def keypoint_heatmap(cells: DataFrame) -> DataFrame:
@@ -70,9 +72,12 @@ def dual_scale(small: DataFrame, large: DataFrame, k: int, s1: float = 0.6, s2:
 
 def soft_argmax(v: Column | str, side: int = 8, temperature: float = 3.0) -> Column:
     """struct(dx, dy, confidence): expected offset from the middle of a side x side patch, and its greatest probability."""
-    p = softmax(v, temperature)
-    at = lambda f: F.aggregate(F.zip_with(p, F.sequence(F.lit(0), F.lit(side * side - 1)), lambda a, i: a * (f(i) - side // 2)), F.lit(0.0), lambda s, x: s + x)
-    return F.struct(at(lambda i: i % side).alias("dx"), at(lambda i: F.floor(i / side)).alias("dy"), F.array_max(p).alias("confidence"))
+    place = F.sequence(F.lit(0), F.lit(side * side - 1))
+
+    def expected(p: Column, f) -> Column:
+        return F.aggregate(F.zip_with(p, place, lambda a, i: a * (f(i) - side // 2)), F.lit(0.0), lambda s, x: s + x)
+
+    return let(softmax(v, temperature), lambda p: F.struct(expected(p, lambda i: i % side).alias("dx"), expected(p, lambda i: F.floor(i / side)).alias("dy"), F.array_max(p).alias("confidence")))
 
 
 def refined(matches: DataFrame, least: float = 0.25) -> DataFrame:
@@ -134,8 +139,7 @@ def gem_pool(tokens: DataFrame, p: float = 3.0, floor: float = 1e-6) -> DataFram
     flat = tokens.select("image_id", F.posexplode("token").alias("i", "x"))
     dims = flat.groupBy("image_id", "i").agg(F.pow(F.avg(F.pow(F.greatest(F.col("x").cast("double"), F.lit(floor)), F.lit(p))), F.lit(1 / p)).alias("g"))
     row = dims.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "g"))), lambda s: s["g"]).alias("g"))
-    norm = F.sqrt(F.aggregate("g", F.lit(0.0), lambda s, x: s + x * x))
-    return row.withColumn("n", norm).select("image_id", F.transform("g", lambda x: x / F.col("n")).alias("embedding"))
+    return row.select("image_id", l2_normalize("g").alias("embedding"))
 
 
 def _logsumexp(m: np.ndarray, axis: int) -> np.ndarray:
@@ -184,6 +188,4 @@ def weighted_clusters(assigned: DataFrame, features: DataFrame, tokens: DataFram
     sums = flat.join(w, ["image_id", "patch"]).groupBy("image_id", "cluster", "c").agg(F.sum(F.col("x").cast("double") * F.col("p")).alias("s"))
     per = sums.withColumn("n", F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("image_id", "cluster"))))
     vec = per.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "cluster", (F.col("s") / F.col("n")).alias("x")))), lambda s: s["x"]).alias("local"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    both = vec.join(tokens, "image_id").withColumn("tn", norm(F.col("t"))).select("image_id", F.concat(F.transform("t", lambda x: x.cast("double") / F.col("tn")), "local").alias("e"))
-    return both.withColumn("n", norm(F.col("e"))).select("image_id", F.transform("e", lambda x: x / F.col("n")).alias("embedding"))
+    return vec.join(tokens, "image_id").select("image_id", let(F.concat(l2_normalize("t"), "local"), l2_normalize).alias("embedding"))

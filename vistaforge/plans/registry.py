@@ -2,10 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
 
-def oracle_sql() -> dict:
-    return {}
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name; ``sql`` gives the same rows in DuckDB, where SQL can."""
+
+    def add(fn: Query) -> Query:
+        if fn.__name__ in _queries:
+            raise ValueError(f"two queries are called {fn.__name__}")
+        _queries[fn.__name__] = fn
+        if sql:
+            _sql[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _load() -> None:
+    from vistaforge.plans import catalog_queries, feature_queries, graph_queries, serve_queries, verdict_queries  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_sql)
