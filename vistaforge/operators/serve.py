@@ -10,6 +10,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the protocol.
 PREFIX = "vrg_retrieval_demo"
@@ -134,7 +135,7 @@ def page(ranked: DataFrame, offset: int, limit: int) -> DataFrame:
     return ranked.filter((F.col("rank") >= offset) & (F.col("rank") < offset + limit))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def three_digits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Numbers in three significant digits (``%.3g``), which the JVM's formats do not have; used on pages only."""
     for s in batches:
