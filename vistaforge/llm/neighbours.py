@@ -24,7 +24,6 @@ from vistaforge.session import cut
 BOOKS, WORDS, BEAM = 16, 64, 4
 RERANK = 64
 QUERY_BLOCK = 4_096
-TOO_FEW = 256
 
 
 def train_codebooks(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 6, seed: int = 5) -> np.ndarray:
@@ -107,7 +106,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = ID, vec_col
     """``(query_id, rank, image_id, sim)``: for each id of ``queries`` the k other ids most similar to it.
 
     ``queries`` has a column ``query_id`` of ids of ``df``; NULL, unknown and unusable ones give no rows, repeated ones
-    count once. A repeated id is one record; equal similarities are ordered by id. Fewer than k others give
+    count once. A repeated id is one record; of equal similarities any may come out, ordered by id. Fewer than k others give
     fewer rows; empty tables give none. ``rerank`` rows per query and Arrow batch are compared exactly (measured
     recall is in the README).
     """

@@ -22,12 +22,14 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vistaforge.llm.text import id_again, id_and_flag
 from vistaforge.session import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenising pattern that belongs to the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_WINDOWS = 512
+MAX_SOURCES = 1_000
 NO_SOURCE = "(none)"
 _encoders: dict[str, tiktoken.Encoding] = {}
 
@@ -42,16 +44,16 @@ def encoder(path: str) -> tiktoken.Encoding:
 
 
 def token_lengths(df: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(doc_id, source, n_tokens)`` per row of ``df``; whole texts, NULL counts as empty."""
+    """``(doc_id, no_id, source, n_tokens)`` per row of ``df``; whole texts, NULL counts as empty; a NULL id is 0 with ``no_id``."""
 
     def run(batches):
         enc = encoder(tokenizer)
         for pdf in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["t"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": n})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "no_id": pdf["no_id"], "source": pdf["source"], "n_tokens": n})
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("source"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInPandas(run, "doc_id long, source string, n_tokens long")
+    rows = df.select(*id_and_flag(id_col), F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("source"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInPandas(run, "doc_id long, no_id boolean, source string, n_tokens long")
 
 
 class Queue:
@@ -104,9 +106,9 @@ def pack(df: DataFrame, capacity: int, tokenizer: str = TOKENIZER, mixture: dict
     if capacity <= 0:
         raise ValueError("capacity must be positive")
     lengths = cut(token_lengths(df, tokenizer, id_col, text_col, source_col).filter("n_tokens > 0"))
-    by_source = {r["source"]: r["n"] for r in lengths.groupBy("source").agg(F.sum("n_tokens").alias("n")).limit(100_001).collect()}
-    if len(by_source) > 100_000:
-        raise ValueError("the source column has more than 100,000 values; name a coarser one")
+    by_source = {r["source"]: r["n"] for r in lengths.groupBy("source").agg(F.sum("n_tokens").alias("n")).limit(MAX_SOURCES + 1).collect()}
+    if len(by_source) > MAX_SOURCES:
+        raise ValueError(f"the source column has more than {MAX_SOURCES} values; name a coarser one")
     total = sum(by_source.values())
     given = mixture or by_source
     share = {s: x / (sum(given.values()) or 1) for s, x in given.items()}
@@ -114,8 +116,8 @@ def pack(df: DataFrame, capacity: int, tokenizer: str = TOKENIZER, mixture: dict
     keyed = lengths.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("int"))
     sums = keyed.groupBy("shard", "source").agg(F.sum("n_tokens").alias("n"))
     per_shard = sums.groupBy("shard").agg(F.sum("n").alias("all"))
-    named = df.sparkSession.createDataFrame([(s, float(x)) for s, x in share.items()] or [("", 0.0)], "source string, part double")
-    grid = per_shard.join(F.broadcast(named)).select("shard", "all", "source", "part").join(sums, ["shard", "source"], "left")
+    named = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(float(x)).alias("part")) for s, x in share.items()] or [F.struct(F.lit("").alias("source"), F.lit(0.0).alias("part"))])
+    grid = per_shard.select("shard", "all", F.explode(named).alias("s")).select("shard", "all", "s.*").join(sums, ["shard", "source"], "left")
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     carried = grid.withColumn("credit", F.coalesce(F.sum(F.col("all") * F.col("part") - F.coalesce("n", F.lit(0))).over(before), F.lit(0.0)))
     starting = carried.groupBy(F.col("shard").alias("of_shard")).agg(F.map_from_entries(F.collect_list(F.struct("source", "credit"))).alias("credit"))
@@ -123,7 +125,8 @@ def pack(df: DataFrame, capacity: int, tokenizer: str = TOKENIZER, mixture: dict
     def run(key, left, right):
         credit = dict(right["credit"].iloc[0]) if len(right) and right["credit"].iloc[0] is not None else {}
         ids, sources, sizes = left["doc_id"].tolist(), left["source"].tolist(), left["n_tokens"].tolist()
-        order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i] is None or ids[i] != ids[i], ids[i] if ids[i] == ids[i] else 0))
+        none = left["no_id"].tolist()
+        order = sorted(range(len(ids)), key=lambda i: (sizes[i], none[i], ids[i]))
         rows, items, full = [], [], 0
         for i in order:
             whole, rest = divmod(sizes[i], capacity)
@@ -144,11 +147,12 @@ def pack(df: DataFrame, capacity: int, tokenizer: str = TOKENIZER, mixture: dict
         base = int(key[0]) << 32
         out = pd.DataFrame(rows, columns=["container_id", "at", "piece", "start_token", "n_tokens"])
         out["container_id"] += base
-        out["doc_id"] = left["doc_id"].to_numpy()[out["at"].to_numpy(dtype=int)] if len(out) else []
-        out["source"] = left["source"].to_numpy()[out["at"].to_numpy(dtype=int)] if len(out) else []
-        return out[["container_id", "doc_id", "source", "piece", "start_token", "n_tokens"]]
+        for c in ("doc_id", "no_id", "source"):
+            out[c] = left[c].to_numpy()[out["at"].to_numpy(dtype=int)]
+        return out[["container_id", "doc_id", "no_id", "source", "piece", "start_token", "n_tokens"]]
 
-    return keyed.groupBy("shard").cogroup(starting.groupBy("of_shard")).applyInPandas(run, "container_id long, doc_id long, source string, piece long, start_token long, n_tokens long")
+    packed = keyed.groupBy("shard").cogroup(starting.groupBy("of_shard")).applyInPandas(run, "container_id long, doc_id long, no_id boolean, source string, piece long, start_token long, n_tokens long")
+    return packed.select("container_id", id_again(), "source", "piece", "start_token", "n_tokens")
 
 
 def split_documents(packed: DataFrame) -> DataFrame:

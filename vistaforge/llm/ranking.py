@@ -25,7 +25,7 @@ def percentiles(scores: DataFrame) -> DataFrame:
 
     pct = (rows below + half of the equal rows) / rows, within (query, criterion); NULL and NaN scores are left out.
     """
-    s = scores.filter("score is not null and not isnan(score)")
+    s = scores.select("query_id", "image_id", "criterion", "score").filter("score is not null and not isnan(score)")
     key = ["query_id", "criterion"]
     tallied = s.groupBy(*key, "score").agg(F.count("*").alias("n"))
     spread = cut(tallied.repartitionByRange(*[F.col(c) for c in key], F.col("score")).withColumn("pid", F.spark_partition_id()))

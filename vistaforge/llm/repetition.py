@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaforge.llm.text import LETTERS, MIX, WordHashes, finish, hashed, shingles
+from vistaforge.llm.text import LETTERS, MIX, WordHashes, finish, hashed, id_again, id_and_flag, shingles
 
 WINDOW, SEED_WORDS = 8, 4
 CHUNK = 4_096
@@ -92,10 +92,11 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ex
         for pdf in batches:
             got = pd.DataFrame(measured(pdf["t"], exact_everywhere), columns=["ratio", "chunk_ratio", "band", "n_words", "repeated_words"])
             got["repeated_words"] = got["repeated_words"].astype("Int64")
-            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), got], axis=1)
+            yield pd.concat([pdf[["doc_id", "no_id"]].reset_index(drop=True), got], axis=1)
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    out = rows.mapInPandas(run, "doc_id long, ratio double, chunk_ratio double, band string, n_words long, repeated_words long")
+    rows = df.select(*id_and_flag(id_col), F.col(text_col).cast("string").alias("t"))
+    out = rows.mapInPandas(run, "doc_id long, no_id boolean, ratio double, chunk_ratio double, band string, n_words long, repeated_words long")
+    out = out.select(id_again(), "ratio", "chunk_ratio", "band", "n_words", "repeated_words")
     return out.withColumn("repeated_share", F.when(F.col("n_words") > 0, F.col("repeated_words") / F.col("n_words")).otherwise(F.lit(0.0)))
 
 

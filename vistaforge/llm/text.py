@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LETTERS_AND_DIGITS = re.compile(r"[^\W_]+")
@@ -42,3 +44,13 @@ def shingles(w: np.ndarray, k: int) -> np.ndarray:
     for t in range(k):
         h += w[t : t + n] * MIX[t]
     return finish(h)
+
+
+def id_and_flag(id_col: str) -> list[Column]:
+    """Columns ``doc_id`` without NULLs and ``no_id``: a pandas column of longs with NULLs would turn into floats."""
+    c = F.col(id_col).cast("long")
+    return [F.coalesce(c, F.lit(0)).alias("doc_id"), c.isNull().alias("no_id")]
+
+
+def id_again() -> Column:
+    return F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")
