@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Fixed values of the protocol.
-PREFIX = "vrg_retrieval_demo"
+DEFAULT_PREFIX = "collection"
 PATH_COLOUR = "#edae49"
 SEARCH_MODES = {
     "similarity": ("skip", False),
@@ -48,6 +48,7 @@ class Config:
     vlm_bbox: tuple[int, int, int, int] | None = None
     input_dir: str = ""
     upload_dir: str = ""
+    prefix: str = DEFAULT_PREFIX
 
     def with_options(self, **options: Any) -> Config:
         return replace(self, **options)
@@ -85,8 +86,8 @@ def query_path(path: str, prefix: str, config: Config) -> str:
     """The place of a query image by the prefix of its request."""
     if prefix == "upload":
         return f"{config.upload_dir.rstrip('/')}/{path}"
-    if prefix == PREFIX:
-        return f"{config.input_dir.rstrip('/')}/{path}".replace(f"{PREFIX}/{PREFIX}", PREFIX)
+    if prefix == config.prefix:
+        return f"{config.input_dir.rstrip('/')}/{path}".replace(f"{prefix}/{prefix}", prefix)
     return path
 
 
@@ -142,10 +143,10 @@ def three_digits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else f"{v:.3g}")
 
 
-def served_path(path: Column | str, input_dir: str) -> Column:
-    """A path with the collection's folder replaced by the protocol's prefix, wherever it occurs."""
+def served_path(path: Column | str, input_dir: str, prefix: str = DEFAULT_PREFIX) -> Column:
+    """A path with the collection's folder replaced by the prefix that clients know, wherever it occurs."""
     c = F.col(path) if isinstance(path, str) else path
-    return F.replace(c, F.lit(input_dir if input_dir.endswith("/") else input_dir + "/"), F.lit(PREFIX + "/"))
+    return F.replace(c, F.lit(input_dir if input_dir.endswith("/") else input_dir + "/"), F.lit(prefix + "/"))
 
 
 def path_overlay(points: Column | str) -> Column:
@@ -155,17 +156,17 @@ def path_overlay(points: Column | str) -> Column:
     return F.when(F.size(F.coalesce(c, F.array().cast("array<struct<x:double,y:double>>"))) > 0, one).otherwise(F.array().cast("array<struct<color:string,points_xy:array<array<double>>>>"))
 
 
-def result_rows(rows: DataFrame, images: DataFrame, criterion: str, input_dir: str) -> DataFrame:
+def result_rows(rows: DataFrame, images: DataFrame, criterion: str, input_dir: str, prefix: str = DEFAULT_PREFIX) -> DataFrame:
     """``(query_id, rank, path, rank_text, score_text, text_info, prefix)`` of a page ``(query_id, image_id, score, global_similarity, rank)``."""
     out = rows.join(images.select("image_id", "path"), "image_id")
     return out.select(
         "query_id",
         "rank",
-        served_path("path", input_dir).alias("path"),
+        served_path("path", input_dir, prefix).alias("path"),
         F.concat(F.lit("Rank: "), F.col("rank").cast("string")).alias("rank_text"),
         F.concat(F.lit(criterion + ": "), three_digits("score"), F.lit(", global_similarity: "), three_digits("global_similarity")).alias("score_text"),
         F.format_string("%.3f", F.col("score")).alias("text_info"),
-        F.lit(PREFIX).alias("prefix"),
+        F.lit(prefix).alias("prefix"),
     )
 
 

@@ -55,7 +55,7 @@ _INPUT = "SELECT image_id, min(path) AS path FROM images GROUP BY image_id"
 
 
 @query(_MERGED + f""", f AS (SELECT image_id, path, split_part(path, '/', 1) || '/' AS root FROM ({_INPUT}))
-SELECT query_id, o.rank, replace(path, 'photos/', 'vrg_retrieval_demo/') AS path, 'Rank: ' || o.rank::VARCHAR AS rank_text, 'scale_factor_max: ' || printf('%.3g', score) || ', global_similarity: ' || printf('%.3g', global_similarity) AS score_text, 'vrg_retrieval_demo' AS prefix
+SELECT query_id, o.rank, replace(path, 'photos/', 'collection/') AS path, 'Rank: ' || o.rank::VARCHAR AS rank_text, 'scale_factor_max: ' || printf('%.3g', score) || ', global_similarity: ' || printf('%.3g', global_similarity) AS score_text, 'collection' AS prefix
 FROM o JOIN f USING (image_id) WHERE o.rank < 5 AND score IS NOT NULL AND global_similarity IS NOT NULL""")
 def result_overlays(spark, d):
     """Rows of a first page with their texts."""
@@ -98,10 +98,10 @@ def search_dispatch(spark, d):
     return spark.createDataFrame(out, "id long, criterion string, crop boolean, shortlist_size int")
 
 
-@query("SELECT * FROM (VALUES ('upload', 'a.jpg', '/up/a.jpg'), ('vrg_retrieval_demo', 'x/b.jpg', '/data/x/b.jpg'), ('other', 'c.jpg', 'c.jpg')) t(prefix, path, place)")
+@query("SELECT * FROM (VALUES ('upload', 'a.jpg', '/up/a.jpg'), ('collection', 'x/b.jpg', '/data/x/b.jpg'), ('other', 'c.jpg', 'c.jpg')) t(prefix, path, place)")
 def query_paths(spark, d):
     c = serve.Config().with_options(upload_dir="/up/", input_dir="/data/")
-    rows = [("upload", "a.jpg"), ("vrg_retrieval_demo", "x/b.jpg"), ("other", "c.jpg")]
+    rows = [("upload", "a.jpg"), ("collection", "x/b.jpg"), ("other", "c.jpg")]
     return spark.createDataFrame([(p, x, serve.query_path(x, p, c)) for p, x in rows], "prefix string, path string, place string")
 
 

@@ -82,3 +82,11 @@ def merge_verdicts(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
 def export_json(verdicts: DataFrame) -> DataFrame:
     """One JSON object per row, ``{key: [category, confidence]}``."""
     return verdicts.select(F.to_json(F.create_map("key", F.array("category", F.col("confidence").cast("string")))).alias("json"))
+
+
+def import_json(texts: DataFrame, column: str = "json") -> DataFrame:
+    """``(key, category, confidence)`` from rows of JSON objects ``{key: [category, confidence], ...}``; the greater verdict of a
+    repeated key holds."""
+    pairs = texts.select(F.explode(F.from_json(column, "map<string,array<string>>")).alias("key", "v"))
+    rows = pairs.select("key", F.col("v")[0].alias("category"), F.col("v")[1].try_cast("double").alias("confidence"))
+    return rows.groupBy("key").agg(F.max_by(F.struct("category", "confidence"), F.struct("confidence", "category")).alias("v")).select("key", "v.category", "v.confidence")
