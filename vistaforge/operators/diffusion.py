@@ -16,6 +16,7 @@ from vistaforge.session import cut
 
 ALPHA = 0.9
 MAX_TASK_EDGES = 20_000_000
+MAX_QUERIES = 4_096
 
 
 def neumann(edges: DataFrame, seed: DataFrame, alpha: float = ALPHA, rounds: int = 20, cut_every: int = 4) -> DataFrame:
@@ -132,7 +133,12 @@ def truncated(edges: DataFrame, seed: DataFrame, alpha: float = 0.99, levels: in
 
 
 def full_ranking(scores: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(query_id, image_id, f, reached)``: ranked rows first; every node of ``nodes`` that a query does not reach is appended."""
-    pairs = nodes.select("image_id").join(scores.select("query_id").distinct())
+    """``(query_id, image_id, f, reached)``: ranked rows first; every node of ``nodes`` that a query does not reach is appended.
+
+    The queries are a stated set of at most ``MAX_QUERIES``, so each node is repeated for them without a join."""
+    ids = [r[0] for r in scores.select("query_id").distinct().limit(MAX_QUERIES + 1).collect()]
+    if len(ids) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries; rank fewer at a time")
+    pairs = nodes.select("image_id", F.explode(F.array(*[F.lit(i).cast("long") for i in ids]) if ids else F.array().cast("array<long>")).alias("query_id"))
     rest = pairs.join(scores, ["query_id", "image_id"], "left_anti").select("query_id", "image_id", F.lit(0.0).alias("f"), F.lit(False).alias("reached"))
     return scores.select("query_id", "image_id", "f", F.lit(True).alias("reached")).unionByName(rest)

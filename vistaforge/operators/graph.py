@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vistaforge.functions.vectors import sim_kernel
 from vistaforge.operators.knn import blocked_topk
+from vistaforge.session import cut
 
 ROUND = 9
 
@@ -51,7 +52,8 @@ def normalize(edges: DataFrame) -> DataFrame:
 
 
 def normalized_graph(df: DataFrame, k: int = 100, id_col: str = "image_id", vec_col: str = "embedding") -> DataFrame:
-    return normalize(mutual_min(kernel_edges(df, k, id_col, vec_col)))
+    """The whole graph from vectors. Mutual edges are written once, as degrees and scaling both read them."""
+    return normalize(cut(mutual_min(kernel_edges(df, k, id_col, vec_col))))
 
 
 def query_seed(df: DataFrame, queries: DataFrame, keep: int = 50, id_col: str = "image_id", vec_col: str = "embedding") -> DataFrame:
