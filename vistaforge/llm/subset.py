@@ -2,7 +2,7 @@
 
 Density of a row is the mean, over ``REPEATS`` independent sign hashes, of the number of rows of its scope in the same bucket.
 Buckets are folded into 2^``FOLD`` slots, so the table of counts has a fixed size whatever the number of rows; counts
-are pre-aggregated before the shuffle and the table that goes back to the rows keeps only slots used more than once.
+are pre-aggregated before the shuffle and the table that goes back to the rows keeps only slots used more than once, eight bytes each (at most 6 MB for each album asked for).
 The draw is the exponential race: key = -ln(u) * density with u from a hash of the id; the smallest keys win. Each
 partition passes on its best ``size`` keys of a request at most, which loses nothing.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from vistaforge.llm.vectors import ID, VEC, unit_rows
 
 REPEATS, FOLD = 12, 16
-REQUEST_BLOCK = 32
+REQUEST_BLOCK = 4
 SEED = 40_009
 
 
@@ -89,9 +89,15 @@ def _draw(rows: DataFrame, block: list, bits: int, dim: int) -> DataFrame:
             slot, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pd.DataFrame({"scope": i, "slot": slot, "n": n})
 
-    counts = rows.mapInPandas(count, "scope int, slot int, n long").groupBy("scope", "slot").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()
+    def packed(batches):
+        for pdf in batches:
+            for scope, own in pdf.groupby("scope"):
+                yield pd.DataFrame({"scope": [scope], "slots": [own["slot"].to_numpy(np.int32).tobytes()], "counts": [own["n"].clip(upper=2**31 - 1).to_numpy(np.int32).tobytes()]})
+
+    counts = rows.mapInPandas(count, "scope int, slot int, n long").groupBy("scope", "slot").agg(F.sum("n").alias("n")).filter("n > 1")
     table = np.ones((len(scopes), REPEATS << FOLD), np.float32)
-    table[counts["scope"].to_numpy(), counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    for r in counts.mapInPandas(packed, "scope int, slots binary, counts binary").toLocalIterator():
+        table[r["scope"], np.frombuffer(r["slots"], np.int32)] = np.frombuffer(r["counts"], np.int32)
     sent = spark.sparkContext.broadcast(table)
 
     def draw(batches):
