@@ -22,7 +22,7 @@ from vistaforge.llm.vectors import ID, VEC, bounded_sample, one_per_id, prepared
 from vistaforge.session import cut
 
 BOOKS, WORDS, BEAM = 16, 64, 4
-RERANK = 64
+RERANK = 256
 QUERY_BLOCK = 4_096
 
 
