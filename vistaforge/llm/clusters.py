@@ -42,7 +42,7 @@ def principal_directions(sample: np.ndarray, keep: int = REDUCED) -> np.ndarray:
 
 def grid_bits(rows: float) -> int:
     """Sign bits of a grid over so many rows: cells keep a few scattered rows at any size."""
-    return min(16, max(2, math.ceil(math.log2(max(rows, 2))) - 4))
+    return min(24, max(2, math.ceil(math.log2(max(rows, 2))) - 4))
 
 
 def grid_turn(width: int, grid: int) -> np.ndarray:
