@@ -119,8 +119,27 @@ f AS (
 """
 
 
+_UNIT = """u AS (SELECT image_id, arg_min(global_descs, described_at)::DOUBLE[] AS v FROM global_desc WHERE image_id IS NOT NULL AND len(global_descs) = 96 GROUP BY image_id),
+n AS (SELECT image_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS e FROM u
+  WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0 AND list_dot_product(v, v) > 1e-12) """
+
+
+def _chains(threshold: float) -> str:
+    """Pairs of images joined by chains of pairs at the threshold, in both directions."""
+    return f"""WITH RECURSIVE {_UNIT},
+e AS MATERIALIZED (SELECT a.image_id AS a, b.image_id AS b FROM n a JOIN n b ON a.image_id <> b.image_id AND list_dot_product(a.e, b.e) >= {threshold}),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _chains(0.95) + "SELECT a AS image_id_a, b AS image_id_b FROM r WHERE a < b",
+        "p1_groups": _chains(0.95) + "SELECT a AS image_id, least(a, min(b)) AS group_id FROM r WHERE a <> b GROUP BY a",
+        "p3_found": f"""WITH {_UNIT}, k AS (SELECT a.image_id AS a, b.image_id AS b FROM n a JOIN (SELECT DISTINCT image_id FROM probe_images WHERE for_neighbours) USING (image_id), n b
+  WHERE a.image_id <> b.image_id QUALIFY row_number() OVER (PARTITION BY a.image_id ORDER BY list_dot_product(a.e, b.e) DESC, b.image_id) <= 5)
+SELECT DISTINCT least(a, b) AS image_id_a, greatest(a, b) AS image_id_b FROM k""",
+        "p5_found": _chains(0.70) + """, p AS (SELECT DISTINCT image_id FROM probe_images WHERE for_clusters)
+SELECT a AS image_id_a, b AS image_id_b FROM r WHERE a < b AND a IN (SELECT image_id FROM p) AND b IN (SELECT image_id FROM p)""",
         "p2_leximin": _P2 + "SELECT query_id, image_id, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, image_id) AS rank, round(w[1], 6) AS weakest FROM f",
         "p2_found": _P2 + "SELECT query_id, image_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY [w[2], w[3], w[4], w[1]] DESC, image_id) <= 10",
     }
