@@ -75,3 +75,41 @@ def test_stored_features_of_a_shortlist(engine, spark):
 def test_verdicts_as_json(spark):
     v = spark.createDataFrame([("k1", "same", 0.5), ("k2", "zoom_in", 1.0)], "key string, category string, confidence double")
     assert sorted(map(tuple, import_json(export_json(v)).collect())) == sorted(map(tuple, v.collect()))
+
+
+def test_http(engine):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from vistaforge.plans.http import server
+
+    s = server(engine, port=0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+
+    def post(path, body):
+        r = urllib.request.Request(f"http://127.0.0.1:{s.server_address[1]}{path}", data=body, method="POST")
+        try:
+            with urllib.request.urlopen(r, timeout=60) as f:
+                return f.status, json.loads(f.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    assert post("/image", b'{"a": 1}') == (200, {"message": "Image processed", "data": {"a": 1}})
+    assert post("/capabilities", b"{}")[0] == 200
+    status, got = post("/images", json.dumps({"data": {"limit": 2, "offset": 0}}).encode())
+    assert status == 200 and len(got["data"]["images"]) == 2
+    assert post("/images", b'{"data": {}}')[0] == 400 and post("/images", b"no json")[0] == 400 and post("/other", b"{}")[0] == 404
+    s.shutdown()
+
+
+def test_command_line(tmp_path, engine, capsys):
+    from vistaforge.__main__ import main, parsed
+
+    config, rest = parsed(["--global_model", "a:b", "--local_model", "c:d", "--inl_th", "3", "--use_diffusion", "true", "--vlm_bbox", "1,2,3,4", "--local_desc_image_size", "(640, 480)"])
+    assert (config.inl_th, config.use_diffusion, config.vlm_bbox, config.local_desc_image_size, config.num_nn) == (3.0, True, (1, 2, 3, 4), (640, 480), 100)
+    assert rest.global_model == "a:b" and rest.index_dir is None
+    model = "vistaforge.sources.extract:HashExtractor"
+    main(["--input_dir", engine.config.input_dir, "--index_dir", str(tmp_path / "idx"), "--global_model", model, "--local_model", model])
+    assert "'images': 30" in capsys.readouterr().out
