@@ -62,3 +62,10 @@ def test_verdict_cache_replaces_and_keeps(spark, tmp_path):
     got = cache.merge_verdicts(spark, path, spark.createDataFrame([("b", "zoom_in", 0.9), ("b", "zoom_in", 0.9), ("c", "same", 1.0)], schema))
     assert sorted(tuple(r) for r in got.collect()) == [("a", "same", 0.5), ("b", "zoom_in", 0.9), ("c", "same", 1.0)]
     assert cache.export_json(got).count() == 3
+
+
+def test_one_call_per_candidate(spark):
+    model = lambda prompt, paths: f"SAME 0.{len(paths[0])}"
+    c = spark.createDataFrame([(1, 5, "ab"), (1, 6, "abc")], "query_id long, image_id long, path string")
+    assert sorted(map(tuple, vlm.ask_each(c, model).collect())) == [(1, 5, "same", 0.2), (1, 6, "same", 0.3)]
+    assert "region" in vlm.pair_prompt(True) and vlm.ask_each(c.limit(0), model).count() == 0

@@ -164,6 +164,23 @@ def ask(candidates: DataFrame, model: Callable[[str, list], str], has_box: bool
     return chunks(candidates, size).groupBy("query_id", "chunk").applyInPandas(run, "query_id long, chunk int, n_candidates int, offset int, response string")
 
 
+def pair_prompt(has_box: bool) -> str:
+    """The request about one candidate next to the query (or the query's region)."""
+    what = "the region of interest of the first image" if has_box else "the content of the first image"
+    return f"Two images are given. Does the second show {what}, and at what scale?\nAnswer with one line: ZOOM_IN <conf> if it is larger there, ZOOM_OUT <conf> if smaller, SAME <conf> if neither, IRRELEVANT if it is not there. <conf> is from 0.1 to 1.0."
+
+
+def ask_each(candidates: DataFrame, model: Callable[[str, list], str], has_box: bool = False) -> DataFrame:
+    """``(query_id, image_id, category, confidence)``: one call per candidate ``(query_id, image_id, path)``, in Arrow batches."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"query_id": pdf["query_id"], "image_id": pdf["image_id"], "response": [model(pair_prompt(has_box), [p]) for p in pdf["path"]]})
+
+    answers = candidates.select("query_id", "image_id", "path").mapInPandas(run, "query_id long, image_id long, response string")
+    return answers.select("query_id", "image_id", parse_answer("response").alias("p")).select("query_id", "image_id", "p.category", "p.confidence")
+
+
 def resort_by_verdict(shortlist: DataFrame, verdicts: DataFrame, criterion: str) -> DataFrame:
     """The shortlist ``(query_id, rank, image_id)`` by descending verdict score, former rank at ties; no verdict scores 0."""
     one = verdicts.filter("category is not null").groupBy("query_id", "image_id").agg(F.max_by("category", F.struct(F.coalesce("confidence", F.lit(0.0)), "category")).alias("category"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence"))
