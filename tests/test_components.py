@@ -45,3 +45,12 @@ def test_positions(spark):
     assert [r["position"] == r["k"] for r in with_position(df, "k").collect()].count(False) == 0
     want = np.concatenate([[0], np.cumsum([k % 5 for k in range(500)])[:-1]])
     assert all(r["total_before"] == want[r["k"]] for r in running_total(df, "n", "k").collect())
+
+
+def test_written_tables_are_read_back_with_their_size(spark):
+    from vistaforge.session import written
+
+    df = written(spark.range(10).toDF("x"))
+    assert sorted(r["x"] for r in df.collect()) == list(range(10)) and written(df.limit(0)).count() == 0
+    plan = spark.range(1_000_000).toDF("x").join(df, "x")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` into the shared folder and go on from the written rows (reliable checkpoint)."""
     shared_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back, so that the size of the files is known to the planner:
+    it is broadcast in later joins if it is below ``spark.sql.autoBroadcastJoinThreshold``, and shuffled if not."""
+    spark = df.sparkSession
+    path = f"{shared_checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
