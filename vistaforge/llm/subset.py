@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistaforge.llm.vectors import ID, VEC, unit_rows
+from vistaforge.session import written
 
 REPEATS, FOLD = 12, 16
 REQUEST_BLOCK = 4
@@ -51,7 +52,7 @@ def varied_subset(df: DataFrame, requests: DataFrame, id_col: str = ID, vec_col:
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(vec_col).cast("array<float>").alias("vec")).filter("id is not null and size(vec) > 0")
-    again = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    again = written(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
     once = rows.join(again, "id", "left_semi").groupBy("id").agg(F.first("grp").alias("grp"), F.first("vec").alias("vec"))
     rows = rows.join(again, "id", "left_anti").select("id", "grp", "vec").unionByName(once.select("id", "grp", "vec"))
     asked = requests.select(F.col("request_id").cast("long"), F.col("album").cast("string"), F.col("subset_size").cast("long")).filter("request_id is not null and subset_size > 0").dropDuplicates(["request_id"])

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vistaforge.session import written
+
 SAMPLE_ROWS = 16_000
 ID, VEC = "image_id", "global_descs"
 
@@ -39,11 +41,12 @@ def prepared(df: DataFrame, id_col: str = ID, vec_col: str = VEC) -> DataFrame:
 def copy_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(representatives, copies): one row ``(id, vec)`` per distinct vector, and ``(id, rep)`` for all others.
 
-    Two independent 64-bit hashes stand for the vector, so only hashes and ids are aggregated. Only vectors that
-    occur under two ids go into the join; it is planned by their measured size (AQE).
+    Two independent 64-bit hashes stand for the vector, so only hashes and ids are aggregated. Hashes that occur under
+    two ids are written, so their size is known when they are joined to the rows: vectors move only if there are many.
     """
     hashed = rows.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(7), "vec"))
     twice = hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("top")).filter("rep <> top").drop("top")
+    twice = written(twice)
     joined = hashed.join(twice, ["h1", "h2"], "left")
     return joined.filter("rep is null or id = rep").select("id", "vec"), joined.filter("id <> rep").select("id", "rep").distinct()
 
@@ -144,8 +147,8 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def one_per_id(rows: DataFrame) -> DataFrame:
     """One row ``(id, vec)`` per id. Only ids that occur again are aggregated; the rest is passed through by an
-    anti-join that is planned by the measured size of those ids (AQE)."""
-    again = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    anti-join that is planned by the size of those ids, which are written first."""
+    again = written(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
     alone = rows.join(again, "id", "left_anti")
     some = rows.join(again, "id", "left_semi").groupBy("id").agg(F.first("vec").alias("vec"))
     return alone.select("id", "vec").unionByName(some)
