@@ -61,13 +61,15 @@ def test_near_duplicates_agree_with_brute_force(spark, task_rows):
     assert all(r["image_id_a"] < r["image_id_b"] for r in pairs) and len(pairs) == sum(k * (k - 1) // 2 for k in map(list(got.values()).count, many))
 
 
-def test_one_group_may_hold_a_third_of_all_rows(spark):
+@pytest.mark.parametrize("partitions", [3, 300])
+def test_one_group_may_hold_a_third_of_all_rows(spark, partitions):
     rng = np.random.default_rng(4)
     base = rng.normal(size=DIM)
     rows = [(i, base, "a") for i in range(400)] + [(400 + i, base + 0.001 * rng.normal(size=DIM), "a") for i in range(400)] + [(1_000 + i, rng.normal(size=DIM), "b") for i in range(800)]
-    got = neardup.near_duplicate_groups(frame(spark, rows), task_rows=300)
+    df = frame(spark, rows).repartition(partitions).cache()
+    got = neardup.near_duplicate_groups(df, task_rows=300)
     assert got.count() == 800 and got.select("group_id").distinct().count() == 1
-    labels = clusters.cluster_labels(frame(spark, rows), task_rows=300)
+    labels = clusters.cluster_labels(df, task_rows=300)
     assert labels.filter("cluster_id = 0").count() == 800
 
 
