@@ -54,6 +54,14 @@ def test_repetition_bands(spark):
     assert repetition.repetition(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [200, 2_600, 6_000])
+def test_texts_half_repeated_with_altered_words_are_found_whatever_their_band(spark, n):
+    first = words(int(0.48 * n), 40)
+    copy = [x if i % 9 else f"z{VOCABULARY[i % 3_000]}" for i, x in enumerate(first + first, 1)][: n - len(first)]
+    rows = [(1, " ".join(first + copy), "s"), (2, " ".join(words(n, 41)), "s")]
+    assert [r["doc_id"] for r in repetition.repetitive_documents(docs(spark, rows)).collect()] == [1]
+
+
 def test_leaks_are_found_and_stock_phrases_are_not(spark):
     items = [(k, " ".join(words(100, 100 + k))) for k in range(8)]
     stock = words(12, 999)

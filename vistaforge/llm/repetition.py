@@ -1,12 +1,13 @@
-"""Repeated content inside a document by compression bands, measured exactly where the bands reject it.
+"""Repeated content inside a document: compression bands as a description, the exact share as the measure.
 
 The letters of a text, lower-cased, are compressed with zstandard as a whole and in fixed chunks. How far a text compresses
 depends on its length, so the limits do: a ratio under the lower limit of the text's length class means repetition, one over
 the upper limit noise. Chunk ratios find repetition packed into one place of a long text.
 
-For texts the bands reject as repetitive the share of repeated words is then measured exactly: a word is repeated if it lies
-in a window of ``WINDOW`` words that occurred earlier in the text with at most one word altered. Windows are compared by hashes of
-the whole window and of the window with one word left out, in each place, so the cost is linear up to sorting.
+No ratio bounds the share of repeated words: a text half repeated with altered words compresses as little as a normal one, and how
+far depends on its vocabulary. Whether a document repeats itself is therefore decided by the exact share alone: a word is repeated
+if it lies in a window of ``WINDOW`` words that occurred earlier in the text with at most one word altered. Windows are compared by
+hashes of the whole window and of the window with one word left out, in each place, so the cost is linear up to sorting.
 
 One pass over the texts, no shuffle; each task works through its rows document by document.
 """
@@ -102,4 +103,4 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ex
 
 def repetitive_documents(df: DataFrame, share: float = 0.5) -> DataFrame:
     """Ids of the documents of which more than ``share`` of the words repeat what the text said before."""
-    return repetition(df).filter(F.col("repeated_share") > share).select("doc_id").filter("doc_id is not null").distinct()
+    return repetition(df, exact_everywhere=True).filter(F.col("repeated_share") > share).select("doc_id").filter("doc_id is not null").distinct()
