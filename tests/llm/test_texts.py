@@ -83,6 +83,20 @@ def test_leaks_are_found_and_stock_phrases_are_not(spark):
     assert leakage.leaked_items(docs(spark, rows), asked.limit(0)).count() == 0
 
 
+def test_a_third_in_two_altered_pieces_is_found_and_chained_stock_is_not(spark):
+    stock = [words(14, 700 + k) for k in range(6)]
+    it = {k: words(126, 300 + k) for k in range(4)}
+    it[4] = words(20, 310) + stock[0] + stock[1] + stock[2] + words(20, 311) + stock[3] + words(40, 312)
+    piece = lambda k, b, e, *bad: [f"zz{n}" if n in bad else x for n, x in enumerate(it[k][b:e])]
+    host = lambda k: words(200, 6_000 + k)
+    rows = [(0, host(0) + piece(0, 10, 32, 11) + host(1) + piece(0, 80, 102, 9)), (1, host(2) + piece(1, 30, 74, 8, 20, 31, 37)), (2, host(3) + piece(2, 5, 40) + host(4) + piece(2, 100, 109) + host(5))]
+    rows += [(10 + k, host(10 + k) + stock[k % 4] + host(30 + k) + stock[(k + 1) % 4] + stock[(k + 2) % 4]) for k in range(12)]
+    rows += [(30, host(50) + stock[0] + stock[1] + stock[2] + host(51))]
+    asked = spark.createDataFrame([(k, " ".join(w)) for k, w in it.items()], "item_id long, text string")
+    got = leakage.leaked_items(docs(spark, [(i, " ".join(w), "s") for i, w in rows]), asked).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_sketch_keeps_most_shingles_of_any_length():
     rng = np.random.default_rng(0)
     for n in (1, 5, 100, 5_000):
