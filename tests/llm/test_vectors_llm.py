@@ -145,6 +145,24 @@ def test_subset_is_of_the_size_asked_and_spreads_over_groups(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+def test_subset_density_has_no_foreign_rows_in_it(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3_000, DIM)).astype(np.float32)
+    v[:400] = v[0] + 0.2 * v[:400]
+    asks = spark.createDataFrame([(1, None, 3_000), (2, "b", 3_000)], "request_id int, album string, subset_size int")
+    got = subset.varied_subset(frame(spark, [(i, x, "ab"[i % 2]) for i, x in enumerate(v)]), asks).collect()
+    unit = (v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
+    p = np.random.default_rng(subset.SEED).standard_normal((DIM, 12 * subset.REPEATS)).astype(np.float32)
+    sign = ((unit @ p) > 0).reshape(3_000, subset.REPEATS, 12)
+    for request, own in ((1, np.arange(3_000)), (2, np.arange(1, 3_000, 2))):
+        want = np.zeros(len(own))
+        for r in range(subset.REPEATS):
+            _, at, n = np.unique(np.packbits(sign[own, r], axis=1), axis=0, return_inverse=True, return_counts=True)
+            want += n[at.ravel()] / subset.REPEATS
+        have = {x["image_id"]: x["density"] for x in got if x["request_id"] == request}
+        assert len(have) == len(own) and np.mean([abs(have[i] - w) < 1e-3 for i, w in zip(own.tolist(), want)]) > 0.98
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None)], [(1, [0.0, 0.0], "a")], [(1, [1.0, 2.0], "a")]])
 def test_empty_and_tiny_tables(spark, rows):
     df = frame(spark, rows)

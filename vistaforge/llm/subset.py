@@ -1,8 +1,8 @@
 """A varied subset: a fixed-size weighted sample with probability inverse to local density.
 
 Density of a row is the mean, over ``REPEATS`` independent sign hashes, of the number of rows of its scope in the same bucket.
-Buckets are folded into 2^``FOLD`` slots, so the table of counts has a fixed size whatever the number of rows; counts
-are pre-aggregated before the shuffle and the table that goes back to the rows keeps only slots used more than once, eight bytes each (at most 6 MB for each album asked for).
+Counts are exact at any size: buckets are not folded, since foreign rows in a slot would hide the density of small groups. Counts over one are
+written, so the planner knows their size when they are joined back to the rows' buckets; of the rows only ids and buckets move.
 The draw is the exponential race: key = -ln(u) * density with u from a hash of the id; the smallest keys win. Each
 partition passes on its best ``size`` keys of a request at most, which loses nothing.
 """
@@ -19,17 +19,16 @@ from pyspark.sql import functions as F
 from vistaforge.llm.vectors import ID, VEC, unit_rows
 from vistaforge.session import written
 
-REPEATS, FOLD = 12, 16
+REPEATS = 12
 REQUEST_BLOCK = 4
 SEED = 40_009
 
 
-def bucket_slots(v: np.ndarray, bits: int, repeats: int = REPEATS, fold: int = FOLD) -> np.ndarray:
-    """(rows, repeats): the slot of each row's sign hash."""
+def bucket_keys(v: np.ndarray, bits: int, repeats: int = REPEATS) -> np.ndarray:
+    """(rows, repeats): the bucket of each row's sign hash, with the number of the hash in its upper bits."""
     p = np.random.default_rng(SEED).standard_normal((v.shape[1], bits * repeats)).astype(np.float32)
     sign = ((v @ p) > 0).reshape(len(v), repeats, bits)
-    key = (sign @ (1 << np.arange(bits, dtype=np.int64))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (key >> np.uint64(64 - fold)).astype(np.int64)
+    return sign @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(repeats, dtype=np.int64) << 56)
 
 
 def race_keys(ids: np.ndarray, request: int, density: np.ndarray, seed: int = SEED) -> np.ndarray:
@@ -57,7 +56,7 @@ def varied_subset(df: DataFrame, requests: DataFrame, id_col: str = ID, vec_col:
     rows = rows.join(again, "id", "left_anti").select("id", "grp", "vec").unionByName(once.select("id", "grp", "vec"))
     asked = requests.select(F.col("request_id").cast("long"), F.col("album").cast("string"), F.col("subset_size").cast("long")).filter("request_id is not null and subset_size > 0").dropDuplicates(["request_id"])
     total = df.count()
-    bits = max(8, math.ceil(math.log2(max(total, 2))))
+    bits = min(56, max(8, math.ceil(math.log2(max(total, 2)))))
     first = rows.select("vec").limit(1_000).toPandas()["vec"]
     dim = unit_rows(first)[1].shape[1]
     out = spark.createDataFrame([], "request_id long, id long, density double, race double, size long")
@@ -71,52 +70,35 @@ def varied_subset(df: DataFrame, requests: DataFrame, id_col: str = ID, vec_col:
 
 
 def _draw(rows: DataFrame, block: list, bits: int, dim: int) -> DataFrame:
-    spark = rows.sparkSession
     scopes = sorted({album for _, album, _ in block}, key=lambda x: (x is not None, x))
     of_scope = {album: i for i, album in enumerate(scopes)}
 
-    def count(batches):
-        seen: dict[int, list] = {}
+    def keyed(batches):
         for pdf in batches:
             at, v = unit_rows(pdf["vec"], dim)
-            if len(at):
-                flat = bucket_slots(v, bits) + (np.arange(REPEATS) << FOLD)
-                grp = pdf["grp"].to_numpy()[at]
-                for album, i in of_scope.items():
-                    own = flat if album is None else flat[grp == album]
-                    if len(own):
-                        seen.setdefault(i, []).append(own.ravel())
-        for i, parts in seen.items():
-            slot, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pd.DataFrame({"scope": i, "slot": slot, "n": n})
-
-    def packed(batches):
-        for pdf in batches:
-            for scope, own in pdf.groupby("scope"):
-                yield pd.DataFrame({"scope": [scope], "slots": [own["slot"].to_numpy(np.int32).tobytes()], "counts": [own["n"].clip(upper=2**31 - 1).to_numpy(np.int32).tobytes()]})
+            if not len(at):
+                continue
+            keys, grp, ids = bucket_keys(v, bits), pdf["grp"].to_numpy()[at], pdf["id"].to_numpy()[at]
+            for album, i in of_scope.items():
+                own = np.arange(len(ids)) if album is None else np.flatnonzero(grp == album)
+                if len(own):
+                    yield pd.DataFrame({"scope": i, "key": keys[own].ravel(), "id": np.repeat(ids[own], REPEATS)})
 
-    counts = rows.mapInPandas(count, "scope int, slot int, n long").groupBy("scope", "slot").agg(F.sum("n").alias("n")).filter("n > 1")
-    table = np.ones((len(scopes), REPEATS << FOLD), np.float32)
-    for r in counts.mapInPandas(packed, "scope int, slots binary, counts binary").toLocalIterator():
-        table[r["scope"], np.frombuffer(r["slots"], np.int32)] = np.frombuffer(r["counts"], np.int32)
-    sent = spark.sparkContext.broadcast(table)
+    keys = rows.mapInPandas(keyed, "scope int, key long, id long")
+    counts = written(keys.groupBy("scope", "key").agg(F.count("*").alias("n")).filter("n > 1"))
+    density = keys.join(counts, ["scope", "key"], "left").groupBy("scope", "id").agg((F.sum(F.coalesce("n", F.lit(1))) / REPEATS).alias("density"))
 
     def draw(batches):
         best: dict[int, pd.DataFrame] = {}
         for pdf in batches:
-            at, v = unit_rows(pdf["vec"], dim)
-            if not len(at):
-                continue
-            flat = bucket_slots(v, bits) + (np.arange(REPEATS) << FOLD)
-            grp, ids = pdf["grp"].to_numpy()[at], pdf["id"].to_numpy()[at]
             for request, album, size in block:
-                own = np.arange(len(ids)) if album is None else np.flatnonzero(grp == album)
+                own = pdf[pdf["scope"] == of_scope[album]]
                 if not len(own):
                     continue
-                density = sent.value[of_scope[album]][flat[own]].mean(axis=1).astype(np.float64)
-                got = pd.DataFrame({"request_id": request, "id": ids[own], "density": density, "race": race_keys(ids[own], request, density), "size": size})
+                ids, thick = own["id"].to_numpy(), own["density"].to_numpy()
+                got = pd.DataFrame({"request_id": request, "id": ids, "density": thick, "race": race_keys(ids, request, thick), "size": size})
                 best[request] = pd.concat([best[request], got] if request in best else [got]).nsmallest(size, ["race", "id"])
         for got in best.values():
             yield got
 
-    return rows.mapInPandas(draw, "request_id long, id long, density double, race double, size long")
+    return density.mapInPandas(draw, "request_id long, id long, density double, race double, size long")
