@@ -61,6 +61,25 @@ def test_near_duplicates_agree_with_brute_force(spark, task_rows):
     assert all(r["image_id_a"] < r["image_id_b"] for r in pairs) and len(pairs) == sum(k * (k - 1) // 2 for k in map(list(got.values()).count, many))
 
 
+@pytest.mark.parametrize("rows", [15_000, 500_000, 4_000_000])
+@pytest.mark.parametrize("cosine", [0.925, 0.9])
+def test_pairs_at_the_threshold_meet_in_cells_of_any_size(rows, cosine):
+    rng, n, dim = np.random.default_rng(9), 400, 96
+    a = rng.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(n, dim))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    norm = 2 - 2 * cosine
+    c = 1 - 0.1 / (2 * norm)
+    residual = (np.sqrt(norm) * np.concatenate([a, c * a + np.sqrt(1 - c * c) * b])).astype(np.float32)
+    met = np.zeros(n, bool)
+    for _, keys, _ in neardup.signature_keys(residual, neardup.levels_of(rows, 0), 0.95):
+        keys = keys.reshape(2, n, -1)
+        met |= (keys[0] == keys[1]).any(axis=1)
+    assert met.mean() >= 0.98
+
+
 @pytest.mark.parametrize("partitions", [3, 300])
 def test_one_group_may_hold_a_third_of_all_rows(spark, partitions):
     rng = np.random.default_rng(4)
