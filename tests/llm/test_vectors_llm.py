@@ -102,6 +102,19 @@ def test_clusters_agree_with_brute_force(spark, task_rows):
     assert wrong <= 0.01 * len(want)
 
 
+@pytest.mark.parametrize("rows", [15_000, 1_500_000, 15_000_000])
+def test_pairs_at_the_threshold_share_a_grid_cell_at_any_size(rows):
+    v = np.random.default_rng(8).normal(size=(3_000, 96)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    directions = clusters.principal_directions(v)
+    bits, frames = clusters.grid_frames(v, directions, clusters.grid_bits(rows), 0.7)
+    a, b = (x @ directions for x in clusters.planted_pairs(v, 0.7, seed=77))
+    met = np.zeros(len(a), bool)
+    for g, frame in enumerate(frames):
+        met |= clusters.grids_meet(a, b, bits, g, frame)
+    assert met.mean() >= 0.985
+
+
 def test_cluster_report(spark):
     rows, good = collection(1)
     df = frame(spark, rows)

@@ -1,8 +1,8 @@
 """Density clustering of vectors over spatial partitions with overlapping margins.
 
 Space is divided twice. Coarse cells around the dense regions of a bounded sample (and one for rows near none) carry rows
-to tasks; a row within ``MARGIN`` of a cell's border is also sent to the cell beyond it. Inside a task, reduced vectors (leading
-principal directions of the sample) are cut into grids of sign cells, in ``GRIDS`` rotations; a row nearer than a
+to tasks; a row within half the threshold's distance of a cell's border is also sent to the cell beyond it, so some cell holds both rows of every pair. Inside a task, reduced vectors (leading
+principal directions of the sample) are cut into grids of sign cells, in as many rotations as planted pairs at the threshold need to meet (``RECALL``); a row nearer than a
 standard deviation to a grid border lies on both sides of it. Rows of one grid cell are compared by exact cosine.
 
 A row with a neighbour at ``threshold`` or more is a core row, so clusters are the chains of such pairs. Dense regions are
@@ -26,8 +26,8 @@ from vistaforge.llm.vectors import ID, VEC, bounded_sample, cells_with_margin, c
 from vistaforge.operators.components import merge_local_labels
 
 THRESHOLD = 0.70
-MARGIN = 0.2
-REDUCED, GRIDS = 32, 10
+REDUCED, GRIDS, MOST_GRIDS = 32, 10, 64
+RECALL, PLANTED = 0.995, 1_000
 TASK_ROWS = 200_000
 SEED = 31_013
 
@@ -66,6 +66,38 @@ def grid_keys(reduced: np.ndarray, bits: int, grid: int, frame: tuple[np.ndarray
     return np.concatenate([key, key[row] ^ (1 << bit)]), np.concatenate([np.arange(len(y)), row])
 
 
+def planted_pairs(v: np.ndarray, threshold: float, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and partners of them at the threshold, away from them in the direction of other rows."""
+    rng = np.random.default_rng(seed)
+    a, u = v[rng.integers(0, len(v), PLANTED)], v[rng.integers(0, len(v), PLANTED)]
+    u = u + 1e-3 * rng.standard_normal(u.shape)
+    u = u - (a * u).sum(axis=1, keepdims=True) * a
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    return a, (threshold * a + math.sqrt(1 - threshold**2) * u).astype(np.float32)
+
+
+def grids_meet(a: np.ndarray, b: np.ndarray, bits: int, grid: int, frame: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether the rows of each reduced pair share a cell of the grid."""
+    (ka, ra), (kb, rb) = (grid_keys(x, bits, grid, frame) for x in (a, b))
+    met = np.zeros(len(a), bool)
+    met[np.intersect1d(ka.astype(np.int64) * len(a) + ra, kb.astype(np.int64) * len(a) + rb) % len(a)] = True
+    return met
+
+
+def grid_frames(v: np.ndarray, directions: np.ndarray, bits: int, threshold: float) -> tuple[int, list]:
+    """(bits, frames): as many grids as planted pairs need to meet; where ``MOST_GRIDS`` are too few, cells of fewer bits."""
+    reduced, (a, b) = v @ directions, planted_pairs(v, threshold)
+    a, b = a @ directions, b @ directions
+    met, frames = np.zeros(len(a), bool), []
+    while len(frames) < GRIDS or met.mean() < RECALL:
+        if len(frames) == MOST_GRIDS:
+            bits, frames = bits - 1, []
+            met[:] = bits == 0
+        frames.append(grid_frame(reduced, len(frames)))
+        met |= grids_meet(a, b, bits, len(frames) - 1, frames[-1])
+    return bits, frames
+
+
 def cluster_rows(v: np.ndarray, directions: np.ndarray, threshold: float = THRESHOLD, bits: int | None = None, frames: list | None = None, part: int = 0, parts: int = 1) -> np.ndarray:
     """Least position of each row's cluster among the rows of one task."""
     n = len(v)
@@ -77,12 +109,15 @@ def cluster_rows(v: np.ndarray, directions: np.ndarray, threshold: float = THRES
             break
         root[left[near]] = left[near].min()
         left = left[~near]
+    if (root == root[0]).all():
+        return root
     reduced = v @ directions
-    for g in range(GRIDS):
+    if not frames:
+        bits, frames = grid_frames(v, directions, bits or grid_bits(n), threshold)
+    for g, frame in enumerate(frames):
         if (root == root[0]).all():
             break
-        frame = frames[g] if frames else grid_frame(reduced, g)
-        keys, rows = grid_keys(reduced, bits or grid_bits(n), g, frame)
+        keys, rows = grid_keys(reduced, bits, g, frame)
         if parts > 1:
             here = _part(keys, g, parts) == part
             keys, rows = keys[here], rows[here]
@@ -134,7 +169,9 @@ def cluster_labels(df: DataFrame, id_col: str = ID, vec_col: str = VEC, threshol
     home = cells_with_margin(sample, centres, -1)[1]
     expected = np.bincount(home + 1, minlength=len(centres) + 1) * (total / len(sample))
     parts_of = [max(1, math.ceil(x / task_rows)) for x in expected]
-    hot = {c: (grid_bits(x), [grid_frame(sample[home == c - 1] @ directions, g) for g in range(GRIDS)]) for c, x in enumerate(expected) if parts_of[c] > 1}
+    hot = {c: grid_frames(sample[home == c - 1], directions, grid_bits(x), threshold) for c, x in enumerate(expected) if parts_of[c] > 1}
+
+    margin = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
 
     def pack(batches):
         for pdf in batches:
@@ -142,14 +179,14 @@ def cluster_labels(df: DataFrame, id_col: str = ID, vec_col: str = VEC, threshol
             if not len(at):
                 continue
             ids = pdf["id"].to_numpy()[at]
-            row, cell = cells_with_margin(v, centres, MARGIN)
+            row, cell = cells_with_margin(v, centres, margin)
             calm = ~np.isin(cell + 1, list(hot))
             rows_out, cells_out, parts_out = [row[calm]], [cell[calm]], [np.zeros(calm.sum(), np.int64)]
             for c, (bits, frames) in hot.items():
                 r, parts = row[cell == c - 1], parts_of[c]
                 named = np.zeros((len(r), parts), bool)
-                for g in range(GRIDS):
-                    keys, i = grid_keys(v[r] @ directions, bits, g, frames[g])
+                for g, frame in enumerate(frames):
+                    keys, i = grid_keys(v[r] @ directions, bits, g, frame)
                     named[i, _part(keys, g, parts)] = True
                 i, p = np.nonzero(named)
                 rows_out.append(r[i]), cells_out.append(np.full(len(i), c - 1)), parts_out.append(p)
