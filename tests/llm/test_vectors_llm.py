@@ -182,10 +182,12 @@ def test_subset_density_has_no_foreign_rows_in_it(spark):
     v = rng.normal(size=(3_000, DIM)).astype(np.float32)
     v[:400] = v[0] + 0.2 * v[:400]
     asks = spark.createDataFrame([(1, None, 3_000), (2, "b", 3_000)], "request_id int, album string, subset_size int")
-    got = subset.varied_subset(frame(spark, [(i, x, "ab"[i % 2]) for i, x in enumerate(v)]), asks).collect()
+    df = frame(spark, [(i, x, "ab"[i % 2]) for i, x in enumerate(v)]).select("image_id", "global_descs", "album")
+    unusable = spark.range(10_000, 610_000).selectExpr("id as image_id", "cast(null as array<float>) as global_descs", "'a' as album")
+    got = subset.varied_subset(df.union(unusable), asks).collect()
     unit = (v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
-    p = np.random.default_rng(subset.SEED).standard_normal((DIM, 12 * subset.REPEATS)).astype(np.float32)
-    sign = ((unit @ p) > 0).reshape(3_000, subset.REPEATS, 12)
+    p = np.random.default_rng(subset.SEED).standard_normal((DIM, 20 * subset.REPEATS)).astype(np.float32)
+    sign = ((unit @ p) > 0).reshape(3_000, subset.REPEATS, 20)
     for request, own in ((1, np.arange(3_000)), (2, np.arange(1, 3_000, 2))):
         want = np.zeros(len(own))
         for r in range(subset.REPEATS):
