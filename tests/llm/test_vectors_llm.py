@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from vistaforge.llm import clusters, neardup, neighbours, subset, vectors
+from vistaforge.operators import cells
 
 SCHEMA = "image_id long, global_descs array<float>, album string, id string, vec string, cell int, rank int, group_id string"
 DIM = 24
@@ -102,17 +103,48 @@ def test_clusters_agree_with_brute_force(spark, task_rows):
     assert wrong <= 0.01 * len(want)
 
 
-@pytest.mark.parametrize("rows", [15_000, 1_500_000, 15_000_000])
-def test_pairs_at_the_threshold_share_a_grid_cell_at_any_size(rows):
-    v = np.random.default_rng(8).normal(size=(3_000, 96)).astype(np.float32)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    directions = clusters.principal_directions(v)
-    bits, frames = clusters.grid_frames(v, directions, clusters.grid_bits(rows), 0.7)
-    a, b = (x @ directions for x in clusters.planted_pairs(v, 0.7, seed=77))
+@pytest.mark.parametrize("shape", ["scattered", "loose", "tight"])
+@pytest.mark.parametrize("threshold", [0.95, 0.7])
+def test_parts_of_a_hot_cell_are_small_and_keep_pairs_together(shape, threshold):
+    rng, n, dim, size = np.random.default_rng(6), 16_000, 96, 5
+    middle = np.zeros(dim) if shape == "scattered" else np.eye(dim)[0]
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    v = unit(middle + {"scattered": 1, "loose": 0.5, "tight": 0.1}[shape] * unit(rng.normal(size=(n, dim))))
+    ids, centre = np.arange(n), middle.astype(np.float32)
+    way = cells.parts_of_cell(ids[:4_000], v[:4_000], centre, size, threshold, 0.99)
+    row, part = way.of(v, ids, centre)
+    assert np.bincount(part).max() * size <= 2.2 * n and len(row) <= 4.1 * n
+    a, b = cells.partners(v, threshold, 5)
+    (ra, pa), (rb, pb) = (way.of(x, np.arange(len(x)), centre) for x in (a, b))
     met = np.zeros(len(a), bool)
-    for g, frame in enumerate(frames):
-        met |= clusters.grids_meet(a, b, bits, g, frame)
-    assert met.mean() >= 0.985
+    met[np.intersect1d(ra * 10_000 + pa, rb * 10_000 + pb) // 10_000] = True
+    if way.pivot is not None:
+        met |= (a @ way.pivot >= threshold) & (b @ way.pivot >= threshold)
+    assert met.mean() >= 0.98
+
+
+def test_pairs_at_the_threshold_share_a_cluster_cell():
+    rng = np.random.default_rng(8)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    centres = unit(rng.normal(size=(60, 96)))
+    v = np.concatenate([unit(centres[rng.integers(0, 60, 4_000)] + 0.055 * rng.normal(size=(4_000, 96))), unit(rng.normal(size=(800, 96)))])
+    directions = clusters.principal_directions(v)
+    low, up = vectors.cell_limits(v, centres, directions, 0.7, clusters.RECALL)
+    sims = lambda x: x @ directions @ (centres @ directions).T
+    assert len(vectors.similar_cells(sims(v), low, up)[0]) < 1.5 * len(v)
+    a, b = cells.partners(v, 0.7, 5)
+    (ra, ca), (rb, cb) = (vectors.similar_cells(sims(x), low, up) for x in (a, b))
+    met = np.intersect1d(ra * 1_000 + ca + 1, rb * 1_000 + cb + 1) // 1_000
+    assert len(np.unique(met)) >= 0.99 * len(a)
+
+
+def test_cluster_rows_agree_with_all_pairs():
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=(1, 16)) + s * rng.normal(size=(n, 16)) for s, n in ((0.2, 700), (0.5, 400), (0.3, 90), (1.0, 300), (0.35, 500))])
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)[rng.permutation(len(v))]
+    i, j = np.nonzero(np.triu(v @ v.T >= 0.7, 1))
+    assert (clusters.cluster_rows(v) == vectors.local_roots(len(v), i, j)).all()
+    assert len(clusters.cluster_rows(v[:0])) == 0 and clusters.cluster_rows(v[:1]).tolist() == [0]
 
 
 def test_cluster_report(spark):

@@ -1,14 +1,14 @@
 """Density clustering of vectors over spatial partitions with overlapping margins.
 
-Space is divided twice. Coarse cells around the dense regions of a bounded sample (and one for rows near none) carry rows
-to tasks; a row within half the threshold's distance of a cell's border is also sent to the cell beyond it, so some cell holds both rows of every pair. Inside a task, reduced vectors (leading
-principal directions of the sample) are cut into grids of sign cells, in as many rotations as planted pairs at the threshold need to meet (``RECALL``); a row nearer than a
-standard deviation to a grid border lies on both sides of it. Rows of one grid cell are compared by exact cosine.
-
-A row with a neighbour at ``threshold`` or more is a core row, so clusters are the chains of such pairs. Dense regions are
-clustered in linear time first: all rows at the threshold to a leader are in its cluster and need no comparison with each
-other; grids only seek links between what is still apart. Clusters of different tasks are merged through the core rows
-that both hold. Representatives are medoids: for cosine, the member with the greatest sum of similarities to all is the
+Vectors are reduced to the leading principal directions of a bounded sample, and space is divided into cells around its dense regions,
+and one for rows near none. A row also goes to every cell from which a row at the threshold to it may come: how far the margins reach
+is set by pairs planted at the threshold, of which ``RECALL`` must share a cell. A cell of more than a task's work is divided further, again
+with margins set by planted pairs, or, where most of it is one dense group, by spreading the group's rows (``cells.parts_of_cell``).
+
+A row with a neighbour at ``threshold`` or more is a core row, so clusters are the chains of such pairs. Inside a task, dense regions are
+found in linear time first: all rows at the threshold to a leader are in its cluster. Then blocks of rows that are still apart are compared
+by exact cosine, all of them, so nothing is lost inside a task. Clusters of different tasks are merged through the core
+rows that both hold. Representatives are medoids: for cosine, the member with the greatest sum of similarities to all is the
 one with the greatest product with the cluster's vector sum, which partial sums give without comparing pairs.
 """
 
@@ -21,157 +21,90 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vistaforge.llm.neardup import _part, bucket_links
-from vistaforge.llm.vectors import ID, VEC, bounded_sample, cells_with_margin, coarse_centres, copy_classes, local_roots, one_per_id, prepared, unit_rows
+from vistaforge.llm.vectors import ID, VEC, cell_limits, coarse_centres, copy_classes, local_roots, one_per_id, prepared, sampled, similar_cells, unit_rows, with_pivot
+from vistaforge.operators.cells import outside, parts_of_cell
 from vistaforge.operators.components import merge_local_labels
+from vistaforge.session import written
 
 THRESHOLD = 0.70
-REDUCED, GRIDS, MOST_GRIDS = 32, 10, 64
-RECALL, PLANTED = 0.995, 1_000
+RECALL, ENERGY = 0.995, 0.9
 TASK_ROWS = 200_000
-SEED = 31_013
-
-
-def principal_directions(sample: np.ndarray, keep: int = REDUCED) -> np.ndarray:
-    """(dim, keep): the leading principal directions of the sample."""
-    if len(sample) < 2:
-        return np.eye(sample.shape[1], dtype=np.float32)[:, :keep]
-    values, vectors = np.linalg.eigh(np.cov(sample.T))
-    return vectors[:, np.argsort(-values)[:keep]].astype(np.float32)
-
-
-def grid_bits(rows: float) -> int:
-    """Sign bits of a grid over so many rows: cells keep a few scattered rows at any size."""
-    return min(24, max(2, math.ceil(math.log2(max(rows, 2))) - 4))
-
-
-def grid_turn(width: int, grid: int) -> np.ndarray:
-    return np.linalg.qr(np.random.default_rng(SEED + grid).standard_normal((width, width)))[0].astype(np.float32)
-
-
-def grid_frame(reduced: np.ndarray, grid: int) -> tuple[np.ndarray, np.ndarray]:
-    """(median, deviation) of the rows along each direction of a rotation."""
-    y = reduced @ grid_turn(reduced.shape[1], grid)
-    return np.median(y, axis=0), y.std(axis=0)
-
-
-def grid_keys(reduced: np.ndarray, bits: int, grid: int, frame: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, rows): the row's sign cell in one rotation of the reduced space, and for each border that is nearer
-    than a standard deviation the cell on its other side."""
-    bits = min(bits, reduced.shape[1])
-    middle, spread = frame[0][:bits], frame[1][:bits]
-    y = reduced @ grid_turn(reduced.shape[1], grid)[:, :bits] - middle
-    key = (y > 0) @ (1 << np.arange(bits))
-    row, bit = np.nonzero(np.abs(y) < spread)
-    return np.concatenate([key, key[row] ^ (1 << bit)]), np.concatenate([np.arange(len(y)), row])
-
-
-def planted_pairs(v: np.ndarray, threshold: float, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and partners of them at the threshold, away from them in the direction of other rows."""
-    rng = np.random.default_rng(seed)
-    a, u = v[rng.integers(0, len(v), PLANTED)], v[rng.integers(0, len(v), PLANTED)]
-    u = u + 1e-3 * rng.standard_normal(u.shape)
-    u = u - (a * u).sum(axis=1, keepdims=True) * a
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    return a, (threshold * a + math.sqrt(1 - threshold**2) * u).astype(np.float32)
-
-
-def grids_meet(a: np.ndarray, b: np.ndarray, bits: int, grid: int, frame: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Whether the rows of each reduced pair share a cell of the grid."""
-    (ka, ra), (kb, rb) = (grid_keys(x, bits, grid, frame) for x in (a, b))
-    met = np.zeros(len(a), bool)
-    met[np.intersect1d(ka.astype(np.int64) * len(a) + ra, kb.astype(np.int64) * len(a) + rb) % len(a)] = True
-    return met
-
-
-def grid_frames(v: np.ndarray, directions: np.ndarray, bits: int, threshold: float) -> tuple[int, list]:
-    """(bits, frames): as many grids as planted pairs need to meet; where ``MOST_GRIDS`` are too few, cells of fewer bits."""
-    reduced, (a, b) = v @ directions, planted_pairs(v, threshold)
-    a, b = a @ directions, b @ directions
-    met, frames = np.zeros(len(a), bool), []
-    while len(frames) < GRIDS or met.mean() < RECALL:
-        if len(frames) == MOST_GRIDS:
-            bits, frames = bits - 1, []
-            met[:] = bits == 0
-        frames.append(grid_frame(reduced, len(frames)))
-        met |= grids_meet(a, b, bits, len(frames) - 1, frames[-1])
-    return bits, frames
-
-
-def cluster_rows(v: np.ndarray, directions: np.ndarray, threshold: float = THRESHOLD, bits: int | None = None, frames: list | None = None, part: int = 0, parts: int = 1) -> np.ndarray:
-    """Least position of each row's cluster among the rows of one task."""
-    n = len(v)
-    root, left = np.arange(n), np.arange(n)
-    while len(left) > 1:
-        lead = left[int((v[left] @ v[left].mean(axis=0)).argmax())]
+BLOCK, ACROSS = 1_024, 8_192
+LEAST_REGION, FAILURES = 16, 4
+SUMS_HELD = 4_096
+
+
+def principal_directions(sample: np.ndarray, energy: float = ENERGY) -> np.ndarray:
+    """(dim, kept): as many leading principal directions of the sample as hold ``energy`` of it."""
+    values, vectors = np.linalg.eigh(sample.T.astype(np.float64) @ sample)
+    order = np.argsort(-values)
+    kept = int(np.searchsorted(np.cumsum(values[order]) / max(values.sum(), 1e-12), energy)) + 1
+    return vectors[:, order[:kept]].astype(np.float32)
+
+
+def dense_regions(v: np.ndarray, threshold: float) -> np.ndarray:
+    """Least position of each row's region: the rows at the threshold to a leader. Leaders are the rows nearest the middle of what is
+    left, and single rows where that finds no region."""
+    root, left, failed = np.arange(len(v)), np.arange(len(v)), 0
+    rng = np.random.default_rng(len(v))
+    while len(left) > LEAST_REGION and failed < FAILURES:
+        lead = left[int((v[left] @ v[left].mean(axis=0)).argmax()) if not failed else rng.integers(len(left))]
         near = v[left] @ v[lead] >= threshold
-        if near.sum() < max(16, len(left) // 50):
-            break
-        root[left[near]] = left[near].min()
-        left = left[~near]
-    if (root == root[0]).all():
-        return root
-    reduced = v @ directions
-    if not frames:
-        bits, frames = grid_frames(v, directions, bits or grid_bits(n), threshold)
-    for g, frame in enumerate(frames):
-        if (root == root[0]).all():
-            break
-        keys, rows = grid_keys(reduced, bits, g, frame)
-        if parts > 1:
-            here = _part(keys, g, parts) == part
-            keys, rows = keys[here], rows[here]
-        a, b = _apart(v, keys, rows, threshold, root)
-        if len(a):
-            root = local_roots(n, root[a], root[b])[root]
+        failed = 0 if near.sum() >= LEAST_REGION else failed + 1
+        if not failed:
+            root[left[near]] = left[near].min()
+            left = left[~near]
     return root
 
 
-def _apart(v, keys, rows, threshold, root):
-    """Links between rows of one grid cell that are not in one cluster yet: the rows outside a cell's largest cluster are
-    compared with all of it in blocks, whatever is large being a cluster already."""
-    order = np.argsort(keys, kind="stable")
-    keys, rows = keys[order], rows[order]
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.concatenate([start, [len(keys)]]))
-    tiny = size <= 48
-    mask = np.repeat(tiny, size)
-    a, b = bucket_links(v, keys[mask], rows[mask], threshold, root)
-    a_out, b_out = [a], [b]
-    for s, z in zip(start[~tiny], size[~tiny]):
-        own = rows[s : s + z]
-        label, inverse, count = np.unique(root[own], return_inverse=True, return_counts=True)
-        main = count.argmax()
-        rest = own[inverse != main]
-        for at in range(0, len(rest), 1_024):
-            some = rest[at : at + 1_024]
-            for to in range(0, len(own), 8_192):
-                other = own[to : to + 8_192]
-                hit = (v[some] @ v[other].T >= threshold) & (root[some][:, None] != root[other][None])
-                i, j = np.nonzero(hit)
-                _, once = np.unique(i.astype(np.int64) * len(root) + root[other[j]], return_index=True)
-                a_out.append(some[i[once]]), b_out.append(other[j[once]])
-    return np.concatenate(a_out), np.concatenate(b_out)
+def cluster_rows(v: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Least position of each row's cluster. Rows outside the largest region are compared with all rows that are apart from them."""
+    n, root = len(v), dense_regions(v, threshold)
+    size = np.bincount(root, minlength=n)[root]
+    order = np.lexsort((root, size))
+    v, rank = v[order], np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    root = rank[root][order]
+    for at in range(0, n - int(size.max(initial=0)) if n else 0, BLOCK):
+        for to in range(at, n, ACROSS):
+            own, other = root[at : at + BLOCK], root[to : to + ACROSS]
+            if (own == own[0]).all() and (other == own[0]).all():
+                continue
+            i, j = np.nonzero(v[at : at + BLOCK] @ v[to : to + ACROSS].T >= threshold)
+            i, j = own[i], other[j]
+            apart = i != j
+            if apart.any():
+                pair = np.unique(i[apart] * n + j[apart])
+                root = local_roots(n, pair // n, pair % n)[root]
+    least = np.full(n, n)
+    np.minimum.at(least, root, order)
+    return least[root][rank]
 
 
 def cluster_labels(df: DataFrame, id_col: str = ID, vec_col: str = VEC, threshold: float = THRESHOLD, task_rows: int = TASK_ROWS) -> DataFrame:
     """``(image_id, cluster_id)`` for every id with a usable vector; cluster_id is the cluster's least id.
 
     An id like no other is alone in its cluster. Repeated ids are one record, exact copies share a cluster, unusable
-    vectors and NULL ids have none, an empty table gives no rows.
+    vectors and NULL ids have none, an empty table gives no rows. A task gets ``task_rows`` rows, fewer where many of them must be
+    compared with each other.
     """
     rows = prepared(df, id_col, vec_col)
     total = df.count()
-    sample = bounded_sample(rows, total)
+    sample_ids, sample = sampled(rows, total)
     if not len(sample):
         return df.sparkSession.createDataFrame([], "image_id long, cluster_id long")
     dim, centres, directions = sample.shape[1], coarse_centres(sample), principal_directions(sample)
-    home = cells_with_margin(sample, centres, -1)[1]
-    expected = np.bincount(home + 1, minlength=len(centres) + 1) * (total / len(sample))
-    parts_of = [max(1, math.ceil(x / task_rows)) for x in expected]
-    hot = {c: grid_frames(sample[home == c - 1], directions, grid_bits(x), threshold) for c, x in enumerate(expected) if parts_of[c] > 1}
-
-    margin = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
+    reduced = centres @ directions
+    low, up = cell_limits(sample, centres, directions, threshold, RECALL)
+    in_row, in_cell = similar_cells(sample @ directions @ reduced.T, low, up)
+    points = np.concatenate([np.zeros((1, dim), np.float32), centres])
+    parts = {}
+    for c in np.unique(in_cell):
+        own = in_row[in_cell == c]
+        expected = len(own) * total / len(sample)
+        work = expected * max(1.0, 4 * math.sqrt(outside(sample[own], threshold))) / task_rows
+        if work > 1:
+            parts[int(c)] = parts_of_cell(sample_ids[own], sample[own], points[c + 1], work, threshold, RECALL)
 
     def pack(batches):
         for pdf in batches:
@@ -179,26 +112,20 @@ def cluster_labels(df: DataFrame, id_col: str = ID, vec_col: str = VEC, threshol
             if not len(at):
                 continue
             ids = pdf["id"].to_numpy()[at]
-            row, cell = cells_with_margin(v, centres, margin)
-            calm = ~np.isin(cell + 1, list(hot))
+            row, cell = similar_cells(v @ directions @ reduced.T, low, up)
+            calm = ~np.isin(cell, list(parts))
             rows_out, cells_out, parts_out = [row[calm]], [cell[calm]], [np.zeros(calm.sum(), np.int64)]
-            for c, (bits, frames) in hot.items():
-                r, parts = row[cell == c - 1], parts_of[c]
-                named = np.zeros((len(r), parts), bool)
-                for g, frame in enumerate(frames):
-                    keys, i = grid_keys(v[r] @ directions, bits, g, frame)
-                    named[i, _part(keys, g, parts)] = True
-                i, p = np.nonzero(named)
-                rows_out.append(r[i]), cells_out.append(np.full(len(i), c - 1)), parts_out.append(p)
+            for c, way in parts.items():
+                r = row[cell == c]
+                i, p = way.of(v[r], ids[r], points[c + 1])
+                rows_out.append(r[i]), cells_out.append(np.full(len(i), c)), parts_out.append(p)
             row = np.concatenate(rows_out)
             yield pd.DataFrame({"cell": np.concatenate(cells_out), "part": np.concatenate(parts_out), "id": ids[row], "v": [x.tobytes() for x in v[row]]})
 
     def join_cell(key, pdf):
-        c, part = int(key[0]) + 1, int(key[1])
-        v = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(len(pdf), -1)
-        bits, frames = hot.get(c, (None, None))
-        root = cluster_rows(v, directions, threshold, bits, frames, part, parts_of[c])
-        return pd.DataFrame({"id": pdf["id"], "label": pdf["id"].groupby(root).transform("min")})
+        ids, v = with_pivot(parts.get(int(key[0])), pdf["id"].to_numpy(), np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(len(pdf), -1))
+        root = cluster_rows(v, threshold)
+        return pd.DataFrame({"id": ids, "label": pd.Series(ids).groupby(root).transform("min")})
 
     reps, copies = copy_classes(rows)
     packed = reps.mapInPandas(pack, "cell int, part int, id long, v binary")
@@ -211,32 +138,43 @@ def cluster_labels(df: DataFrame, id_col: str = ID, vec_col: str = VEC, threshol
 
 def cluster_report(df: DataFrame, labels: DataFrame, typical: int = 3, id_col: str = ID, vec_col: str = VEC) -> DataFrame:
     """``(cluster_id, cluster_size, rank, image_id, centrality)``: size and the ``typical`` most typical members of
-    each cluster; centrality is the member's mean similarity to the cluster, itself included; ties go to the least id."""
-    rows = one_per_id(prepared(df, id_col, vec_col))
-    joined = rows.join(labels.withColumnRenamed("image_id", "id"), "id")
+    each cluster; centrality is the member's mean similarity to the cluster, itself included; ties go to the least id.
 
-    def unit(batches):
-        for pdf in batches:
-            at, v = unit_rows(pdf["vec"])
-            if len(at):
-                yield pd.DataFrame({"cluster_id": pdf["cluster_id"].to_numpy()[at], "id": pdf["id"].to_numpy()[at], "v": list(v)})
+    Rows alone in their cluster need no sums. Of the others, each task adds up the vectors of a cluster before anything is shuffled, and the
+    products with the sums are built-in expressions on the rows themselves.
+    """
+    labels = written(labels.select(F.col("image_id").alias("id"), "cluster_id"))
+    sizes = written(labels.groupBy("cluster_id").agg(F.count("*").alias("cluster_size")).filter("cluster_size > 1"))
+    alone = labels.join(sizes, "cluster_id", "left_anti").select("cluster_id", F.lit(1).cast("long").alias("cluster_size"), F.lit(1).alias("rank"), F.col("id").alias("image_id"), F.lit(1.0).alias("centrality"))
+    members = one_per_id(prepared(df, id_col, vec_col)).join(labels.join(sizes, "cluster_id", "left_semi"), "id").select("cluster_id", "id", "vec")
 
     def sums(batches):
+        names, total = [], np.empty((0, 0))
         for pdf in batches:
-            if len(pdf):
-                v, (code, names) = np.stack(pdf["v"].to_list()).astype(np.float64), pd.factorize(pdf["cluster_id"])
-                order = np.argsort(code, kind="stable")
-                first = np.concatenate([[0], np.cumsum(np.bincount(code))[:-1]])
-                yield pd.DataFrame({"cluster_id": names, "n": np.bincount(code), "total": list(np.add.reduceat(v[order], first, axis=0))})
-
-    units = joined.mapInPandas(unit, "cluster_id long, id long, v array<float>")
-    dims = units.mapInPandas(sums, "cluster_id long, n long, total array<double>").select("cluster_id", "n", F.posexplode("total").alias("i", "x"))
-    per_dim = dims.groupBy("cluster_id", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    total = per_dim.groupBy("cluster_id").agg(F.max("n").alias("cluster_size"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("total"))
-    dot = F.aggregate(F.zip_with("v", "total", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    scored = units.join(total, "cluster_id").select("cluster_id", "cluster_size", F.col("id").alias("image_id"), F.round(dot / F.col("cluster_size"), 6).alias("centrality"))
+            at, v = unit_rows(pdf["vec"])
+            if not len(at):
+                continue
+            names = np.concatenate([names, pdf["cluster_id"].to_numpy()[at]]) if len(names) else pdf["cluster_id"].to_numpy()[at]
+            code, names = pd.factorize(names)
+            order = np.argsort(code, kind="stable")
+            first = np.concatenate([[0], np.cumsum(np.bincount(code))[:-1]])
+            total = np.add.reduceat((np.concatenate([total, v]) if total.size else v.astype(np.float64))[order], first, axis=0)
+            if len(names) > SUMS_HELD:
+                yield pd.DataFrame({"cluster_id": names, "total": list(total)})
+                names, total = [], np.empty((0, 0))
+        if len(names):
+            yield pd.DataFrame({"cluster_id": names, "total": list(total)})
+
+    def add(key, pdf):
+        return pd.DataFrame({"cluster_id": [key[0]], "total": [np.stack(pdf["total"].to_list()).sum(axis=0)]})
+
+    total = "cluster_id long, total array<double>"
+    centre = written(members.mapInPandas(sums, total).groupBy("cluster_id").applyInPandas(add, total).join(sizes, "cluster_id"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
+    scored = members.join(centre, "cluster_id").select("cluster_id", "cluster_size", F.col("id").alias("image_id"), F.round(dot("vec", "total") / F.sqrt(dot("vec", "vec")) / F.col("cluster_size"), 6).alias("centrality"))
     w = Window.partitionBy("cluster_id").orderBy(F.desc("centrality"), "image_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= typical)
+    best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= typical)
+    return best.select("cluster_id", "cluster_size", "rank", "image_id", "centrality").unionByName(alone)
 
 
 def cluster_pairs(labels: DataFrame, probes: DataFrame) -> DataFrame:

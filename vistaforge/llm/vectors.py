@@ -1,42 +1,16 @@
-"""What the vector operators share: usable rows, classes of exact copies, a bounded sample, coarse centres."""
+"""What the vector operators share beside the cells of the core: classes of exact copies, cells of all space, cells by similarity."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vistaforge.operators.cells import ID, PLANTED, SAMPLE_ROWS, VEC, Parts, beside, bounded_sample, coarse_centres, local_roots, one_per_id, partners, prepared, sampled, unit_rows  # noqa: F401
 from vistaforge.session import written
 
-SAMPLE_ROWS = 16_000
-ID, VEC = "image_id", "global_descs"
-
-
-def unit_rows(vectors: pd.Series, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, matrix): the usable vectors of a batch, scaled to length one.
-
-    Unusable are NULL, empty, of another length than ``dim`` (the commonest length where not given), with NaN,
-    infinity or NULL inside, and all zero.
-    """
-    lens = np.fromiter((-1 if v is None else len(v) for v in vectors), np.int64, len(vectors))
-    if dim is None:
-        dim = int(np.bincount(lens[lens > 0]).argmax()) if (lens > 0).any() else 0
-    at = np.flatnonzero(lens == dim) if dim > 0 else np.empty(0, np.int64)
-    if not len(at):
-        return at, np.empty((0, max(dim, 0)), np.float32)
-    values = vectors.to_numpy()
-    m = np.stack([np.asarray(values[i], dtype=np.float64) for i in at])
-    with np.errstate(invalid="ignore", over="ignore"):
-        norm = np.sqrt((m * m).sum(axis=1))
-    good = np.isfinite(norm) & (norm > 1e-12)
-    return at[good], (m[good] / norm[good, None]).astype(np.float32)
-
-
-def prepared(df: DataFrame, id_col: str = ID, vec_col: str = VEC) -> DataFrame:
-    """``(id, vec)`` of the rows that may be usable; other columns, whatever their names, are left behind."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).filter("id is not null and size(vec) > 0")
-
 
 def copy_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(representatives, copies): one row ``(id, vec)`` per distinct vector, and ``(id, rep)`` for all others.
@@ -51,59 +25,6 @@ def copy_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return joined.filter("rep is null or id = rep").select("id", "vec"), joined.filter("id <> rep").select("id", "rep").distinct()
 
 
-def bounded_sample(rows: DataFrame, total: int, size: int = SAMPLE_ROWS, salt: int = 11) -> np.ndarray:
-    """Unit vectors of about ``size`` rows chosen by a hash of their id; only models are fitted on it."""
-    if total == 0:
-        return np.empty((0, 0), np.float32)
-    share = min(1.0, size / total)
-    picked = rows.filter(F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(1_000_000)) < int(round(share * 1_000_000)) + 1).select("vec").limit(2 * size)
-    _, m = unit_rows(picked.toPandas()["vec"])
-    return m
-
-
-def coarse_centres(sample: np.ndarray, join: float = 0.6, support: int = 5, limit: int = 1024) -> np.ndarray:
-    """Unit vectors of the sample's dense regions; scattered rows belong to none of them.
-
-    Leaders are picked greedily at cosine ``join``, moved to their members' mean twice, and merged when they
-    come within 0.8 of each other. A region needs ``support`` rows of the sample. At most ``limit`` centres.
-    """
-    left, found = np.arange(len(sample)), []
-    while len(left) and len(found) < limit:
-        block = sample[left[:256]]
-        near, alive, leads = block @ block.T >= join, np.ones(len(block), bool), []
-        for i in range(len(block)):
-            if alive[i]:
-                leads.append(i)
-                alive &= ~near[i]
-        sims = sample[left] @ block[leads].T
-        to = sims.argmax(axis=1)
-        took = sims[np.arange(len(left)), to] >= join
-        for j in range(len(leads)):
-            own = left[took & (to == j)]
-            if len(own) >= support:
-                found.append((len(own), sample[own].mean(axis=0)))
-        left = left[~took]
-    if not found:
-        return np.empty((0, sample.shape[1] if sample.ndim == 2 else 0), np.float32)
-    c = np.stack([v for _, v in sorted(found, key=lambda f: -f[0])][:limit])
-    for _ in range(2):
-        c = c / np.linalg.norm(c, axis=1, keepdims=True)
-        sims = sample @ c.T
-        to, took = sims.argmax(axis=1), sims.max(axis=1) >= join - 0.05
-        size = np.bincount(to[took], minlength=len(c))
-        kept: list[int] = []
-        for j in np.argsort(-size, kind="stable"):
-            if size[j] >= support and (not kept or (c[kept] @ c[j]).max() < 0.8):
-                kept.append(int(j))
-        if not kept:
-            return np.empty((0, sample.shape[1]), np.float32)
-        c = c[kept]
-        sims = sample @ c.T
-        to, took = sims.argmax(axis=1), sims.max(axis=1) >= join - 0.05
-        c = np.stack([sample[took & (to == j)].mean(axis=0) if (took & (to == j)).any() else c[j] for j in range(len(c))])
-    return (c / np.linalg.norm(c, axis=1, keepdims=True)).astype(np.float32)
-
-
 def cells_with_margin(v: np.ndarray, centres: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell) of the home cell of every row and of each other cell whose border is within ``margin``.
 
@@ -125,30 +46,33 @@ def cells_with_margin(v: np.ndarray, centres: np.ndarray, margin: float) -> tupl
     return row, cell - 1
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least position of each component of a small graph held in arrays."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        while True:
-            nxt = root[root]
-            if (nxt == root).all():
-                break
-            root = nxt
-        live = root[a] != root[b]
-        a, b = a[live], b[live]
-        if not len(a) and (before == root).all():
-            break
-    return root
-
-
-def one_per_id(rows: DataFrame) -> DataFrame:
-    """One row ``(id, vec)`` per id. Only ids that occur again are aggregated; the rest is passed through by an
-    anti-join that is planned by the size of those ids, which are written first."""
-    again = written(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
-    alone = rows.join(again, "id", "left_anti")
-    some = rows.join(again, "id", "left_semi").groupBy("id").agg(F.first("vec").alias("vec"))
-    return alone.select("id", "vec").unionByName(some)
+def similar_cells(sims: np.ndarray, low: float, up: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell): a row is in each cell whose centre has similarity ``low`` or more to it, and in cell -1 if none has ``up``."""
+    row, cell = np.nonzero(np.concatenate([(sims.max(axis=1, initial=-1) < up)[:, None], sims >= low], axis=1))
+    return row, cell - 1
+
+
+def cell_limits(sample: np.ndarray, centres: np.ndarray, directions: np.ndarray, threshold: float, recall: float) -> tuple[float, float]:
+    """(low, up) for ``similar_cells``: two rows below ``up`` to all centres meet in cell -1. Of two rows at the threshold one of which
+    has ``up`` or more to a centre, the other has ``low`` with probability ``recall``, by partners planted around rows at ``up`` exactly,
+    where it is least. Of several limits those are taken that put the sample's rows into fewest cells."""
+    if not len(centres):
+        return 1.0, 2.0
+    rng, best = np.random.default_rng(79), None
+    c = centres[rng.integers(0, len(centres), PLANTED)]
+    around, away = (sample[rng.integers(0, len(sample), PLANTED)] for _ in range(2))
+    sims = sample @ directions @ (centres @ directions).T
+    for up in np.arange(0.6, 0.96, 0.05):
+        b = beside(beside(c, around, up, 80), np.roll(away, 1, axis=0), threshold, 81)
+        low = float(np.quantile(((b @ directions) * (c @ directions)).sum(axis=1), 1 - recall))
+        cost = len(similar_cells(sims, low, up)[0])
+        if best is None or cost < best[0]:
+            best = (cost, low, float(up))
+    return best[1:]
+
+
+def with_pivot(way: Parts | None, ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a part, and the pivot where its group is spread over parts: all of them hold it, and so are merged."""
+    if way is None or way.pivot is None:
+        return ids, v
+    return np.append(ids, way.pivot_id), np.concatenate([v, way.pivot[None]])
