@@ -6,10 +6,10 @@ S = "query_id long, image_id long, criterion string, score double, rank int, pct
 C = "query_id long, image_id long, weakest double"
 
 
-def run(spark, scores, cand, forgiven=0, criteria=("a", "b")):
+def run(spark, scores, cand, of=1, criteria=("a", "b")):
     s = spark.createDataFrame([(*r, 1, 0.5) for r in scores], S)
     c = spark.createDataFrame([(*r, 0.1) for r in cand], C)
-    out = ranking.leximin_ranking(s, c, list(criteria), forgiven).orderBy("query_id", "rank").collect()
+    out = ranking.leximin_ranking(s, c, list(criteria), of).orderBy("query_id", "rank").collect()
     return [(r["query_id"], r["image_id"]) for r in out]
 
 
@@ -30,11 +30,12 @@ def test_ties_go_to_the_least_id_and_candidates_without_scores_stay(spark):
     assert run(spark, [(1, 1, "a", 0.0)], []) == []
 
 
-def test_a_forgiven_score_is_compared_last(spark):
+def test_means_of_several_scores_keep_a_weak_one_from_deciding_alone(spark):
     scores = [(1, i, c, float(i)) for i in range(1, 8) for c in "abc"] + [(1, 8, "a", 9.0), (1, 8, "b", 9.0), (1, 8, "c", 0.0)]
     cand = [(1, i) for i in range(1, 9)]
-    assert run(spark, scores, cand, 0, "abc")[-2:] == [(1, 8), (1, 1)]
-    assert run(spark, scores, cand, 1, "abc")[0] == (1, 8)
+    assert run(spark, scores, cand, 1, "abc")[-2:] == [(1, 8), (1, 1)]
+    assert run(spark, scores, cand, 2, "abc") == [(1, i) for i in (7, 6, 5, 8, 4, 3, 2, 1)]
+    assert run(spark, scores, cand, 3, "abc")[2] == (1, 8)
 
 
 @pytest.mark.parametrize("n", [1, 500])

@@ -209,6 +209,25 @@ def test_subset_is_of_the_size_asked_and_spreads_over_groups(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+def test_every_member_has_the_most_similar_drawn_row(spark):
+    rows, good = collection(5)
+    ids, s = similarities(good)
+    at = {i: k for k, i in enumerate(ids.tolist())}
+    asks = spark.createDataFrame([(1, None, 40), (2, "a1", 9), (3, "none", 3)], "request_id int, album string, subset_size int")
+    df = frame(spark, rows)
+    drawn = {(r["request_id"], r["image_id"]) for r in subset.varied_subset(df, asks).collect()}
+    subset.CHOSEN_BLOCK, kept = 16, subset.CHOSEN_BLOCK
+    small = {(r["request_id"], r["image_id"]): r for r in subset.subset_coverage(df, asks).collect()}
+    subset.CHOSEN_BLOCK = kept
+    got = {(r["request_id"], r["image_id"]): r for r in subset.subset_coverage(df, asks).collect()}
+    assert {k for k, r in got.items() if r["chosen"]} == drawn and small.keys() == got.keys()
+    assert {i for q, i in got if q == 1} == set(good) and {q for q, _ in got} == {1, 2}
+    for (q, i), r in got.items():
+        best = max(s[at[i], at[j]] for p, j in drawn if p == q)
+        assert abs(r["similarity"] - best) < 1e-5 and abs(s[at[i], at[r["representative_id"]]] - best) < 1e-5 and (q, r["representative_id"]) in drawn
+        assert abs(small[q, i]["similarity"] - best) < 1e-5
+
+
 def test_subset_density_has_no_foreign_rows_in_it(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(3_000, DIM)).astype(np.float32)
@@ -236,5 +255,6 @@ def test_empty_and_tiny_tables(spark, rows):
     usable = int(bool(rows) and rows[0][1] == [1.0, 2.0])
     assert clusters.cluster_labels(df).count() == usable
     assert neighbours.nearest(df, spark.createDataFrame([(1,)], "query_id long"), 3).count() == 0
+    assert subset.subset_coverage(df, spark.createDataFrame([(1, None, 2)], "request_id int, album string, subset_size int")).count() == usable
     assert subset.varied_subset(df, spark.createDataFrame([(1, None, 2)], "request_id int, album string, subset_size int")).count() == usable
     assert subset.varied_subset(df, spark.createDataFrame([], "request_id int, album string, subset_size int")).count() == 0

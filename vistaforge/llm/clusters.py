@@ -28,7 +28,7 @@ from vistaforge.session import written
 
 THRESHOLD = 0.70
 RECALL, ENERGY = 0.995, 0.9
-TASK_ROWS = 200_000
+TASK_ROWS = 60_000
 BLOCK, ACROSS = 1_024, 8_192
 LEAST_REGION, FAILURES = 16, 4
 SUMS_HELD = 4_096

@@ -38,7 +38,7 @@ def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     scores, cand = _scores(spark, d)
-    return ranking.leximin_top(scores, cand, CRITERIA, 10, forgiven=1).select("query_id", "image_id")
+    return ranking.leximin_top(scores, cand, CRITERIA, 10, of=3).select("query_id", "image_id")
 
 
 def p2_leximin(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +57,10 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(rows, asked, 10)
 
 
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return subset.subset_coverage(_t(spark, d, "global_desc"), _t(spark, d, "subset_request"))
+
+
 def p4_subset(spark: SparkSession, d: str) -> DataFrame:
     return subset.varied_subset(_t(spark, d, "global_desc"), _t(spark, d, "subset_request"))
 
@@ -96,7 +100,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_leximin, p3_found, p3_neighbours, p4_subset, p5_found, p5_clusters, p6_found, p6_containers, p7_found, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_leximin, p3_found, p3_neighbours, p4_coverage, p4_subset, p5_found, p5_clusters, p6_found, p6_containers, p7_found, p8_found, p8_shares)}
 
 
 _P2 = """
@@ -141,5 +145,6 @@ SELECT DISTINCT least(a, b) AS image_id_a, greatest(a, b) AS image_id_b FROM k""
         "p5_found": _chains(0.70) + """, p AS (SELECT DISTINCT image_id FROM probe_images WHERE for_clusters)
 SELECT a AS image_id_a, b AS image_id_b FROM r WHERE a < b AND a IN (SELECT image_id FROM p) AND b IN (SELECT image_id FROM p)""",
         "p2_leximin": _P2 + "SELECT query_id, image_id, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, image_id) AS rank, round(w[1], 6) AS weakest FROM f",
-        "p2_found": _P2 + "SELECT query_id, image_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY [w[2], w[3], w[4], w[1]] DESC, image_id) <= 10",
+        "p2_found": _P2 + """SELECT query_id, image_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY
+  list_transform(list_sort([w[1] + w[2] + w[3], w[1] + w[2] + w[4], w[1] + w[3] + w[4], w[2] + w[3] + w[4]]), lambda x: round(x / 3, 9)) DESC, image_id) <= 10""",
     }

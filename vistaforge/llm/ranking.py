@@ -4,8 +4,11 @@ Each score becomes the candidate's mid-rank percentile among the candidates of i
 range nor an extreme value matters. A candidate's percentiles are sorted ascending and compared lexicographically: the one whose
 weakest score is better comes first, then the second weakest decides, and so on, so a weak score cannot be masked by a
 strong one. A missing score is replaced by the mean of the candidate's own percentiles, which never is its weakest nor
-its strongest and so counts neither for nor against it. ``forgiven`` weakest scores of an item are compared last instead of first,
-so that single failed verifications (score 0 by definition) do not decide alone; 0 is the plain leximin order.
+its strongest and so counts neither for nor against it.
+
+``of`` = m compares, instead of single percentiles, the means of every m of them, again sorted ascending: the item whose weakest m
+scores are better together comes first. A weak score is part of the first mean that is compared, so it is never masked, but it does not
+decide alone; with m = 1 this is plain leximin, with all scores the order by their mean.
 
 Plan. Equal scores are counted before anything is ordered (map-side aggregation); positions within a query come from a range
 partitioning by (query, criterion, score) with per-partition totals carried forward, so a query that holds a third of all
@@ -14,6 +17,8 @@ rows is spread over many tasks.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +43,7 @@ def percentiles(scores: DataFrame) -> DataFrame:
     return s.join(pct, [*key, "score"]).select("query_id", "image_id", "criterion", "pct")
 
 
-def leximin_ranking(scores: DataFrame, candidates: DataFrame, criteria: list[str], forgiven: int = 0) -> DataFrame:
+def leximin_ranking(scores: DataFrame, candidates: DataFrame, criteria: list[str], of: int = 1) -> DataFrame:
     """``(query_id, image_id, rank, weakest)``: one order of each query's candidates.
 
     ``scores``: ``(query_id, image_id, criterion, score)``, higher is better; repeats of one (query, image, criterion) count
@@ -54,13 +59,14 @@ def leximin_ranking(scores: DataFrame, candidates: DataFrame, criteria: list[str
     size = F.size(F.coalesce("own", F.array().cast("array<double>")))
     fill = F.array_repeat(F.coalesce("mean", F.lit(0.5)), F.lit(len(criteria)) - size)
     full = full.withColumn("vec", F.transform(F.sort_array(F.concat(F.coalesce("own", F.array().cast("array<double>")), fill)), lambda x: F.round(x, 9)))
-    if forgiven:
-        full = full.withColumn("vec", F.concat(F.slice("vec", forgiven + 1, len(criteria) - forgiven), F.reverse(F.slice("vec", 1, forgiven))))
     full = full.withColumn("weakest", F.array_min("vec"))
+    if of > 1:
+        means = [F.round(sum((F.col("vec")[i] for i in some), F.lit(0.0)) / of, 9) for some in combinations(range(len(criteria)), of)]
+        full = full.withColumn("vec", F.sort_array(F.array(*means)))
     w = Window.partitionBy("query_id").orderBy(F.desc("vec"), "image_id")
     return full.withColumn("rank", F.row_number().over(w)).select("query_id", "image_id", "rank", "weakest")
 
 
-def leximin_top(scores: DataFrame, candidates: DataFrame, criteria: list[str], k: int, forgiven: int = 0) -> DataFrame:
+def leximin_top(scores: DataFrame, candidates: DataFrame, criteria: list[str], k: int, of: int = 1) -> DataFrame:
     """The best ``k`` candidates of each query; the limit goes below the window's shuffle."""
-    return leximin_ranking(scores, candidates, criteria, forgiven).filter(F.col("rank") <= k)
+    return leximin_ranking(scores, candidates, criteria, of).filter(F.col("rank") <= k)
