@@ -62,6 +62,22 @@ def test_texts_half_repeated_with_altered_words_are_found_whatever_their_band(sp
     assert [r["doc_id"] for r in repetition.repetitive_documents(docs(spark, rows)).collect()] == [1]
 
 
+@pytest.mark.parametrize("n", [20, 45, 80, 160, 320, 640, 1_300, 2_600, 5_200, 12_000])
+def test_bands_reject_no_text_over_half_repeated(n):
+    for seed in range(8):
+        r = random.Random(seed)
+        base = words(int(0.47 * n), 50 + seed)
+        copy = (base * 3)[: n - len(base)]
+        copy = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 10))) if (i + seed) % 8 == 0 else x for i, x in enumerate(copy)]
+        if repetition.repeated_words(hashed(base + copy, WordHashes())) > n / 2:
+            assert next(repetition.measured([" ".join(base + copy)], False))[2] == "repetitive"
+
+
+def test_the_last_chunk_ends_with_the_text():
+    text = " ".join(words(1_500, 3) + ["spam"] * 600)
+    assert len(text) % repetition.CHUNK and next(repetition.measured([text]))[1] < 0.4
+
+
 def test_leaks_are_found_and_stock_phrases_are_not(spark):
     items = [(k, " ".join(words(100, 100 + k))) for k in range(8)]
     stock = words(12, 999)
@@ -97,11 +113,34 @@ def test_a_third_in_two_altered_pieces_is_found_and_chained_stock_is_not(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (2, 2)}
 
 
-def test_sketch_keeps_most_shingles_of_any_length():
-    rng = np.random.default_rng(0)
-    for n in (1, 5, 100, 5_000):
-        h = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
-        assert len(leakage.sketch(h)) >= 0.6 * n
+def test_items_and_documents_of_any_length_meet_in_their_sketches():
+    rng, met = np.random.default_rng(0), []
+    for n in (10, 100, 5_000, 100_000):
+        for _ in range(60):
+            item, other = (rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) for k in (120, n))
+            h, bits = np.concatenate([item[:7], other]), leakage.size_class(n + 7)
+            item = np.sort(item)
+            kept = item[leakage.first_class(item) <= bits]
+            assert sorted(kept) == sorted(item[leakage.sketch(item, bits)])
+            met.append(len(np.intersect1d(h[leakage.sketch(h, bits)], kept)))
+    assert np.mean(np.array(met) >= leakage.MEETINGS) > 0.97
+    assert leakage.first_class(np.empty(0, np.uint64)).size == 0
+
+
+@pytest.mark.parametrize("every", [0, 15, 10, 8])
+@pytest.mark.parametrize("share", [0.36, 0.5, 1.0])
+def test_passages_with_altered_words_are_found(every, share):
+    items = [words(110 + k % 30, 9_000 + k) for k in range(60)]
+    table = leakage.ItemTable(np.arange(60), [" ".join(w) for w in items])
+    texts = []
+    for k, w in enumerate(items):
+        n = round(share * len(w))
+        begin = (7 * k) % (len(w) - n + 1)
+        piece = [f"zz{i}" if every and (i + k) % every == 0 else x for i, x in enumerate(w[begin : begin + n])]
+        texts.append(" ".join(words(300, 20_000 + k) + piece + words(300, 30_000 + k)))
+    got = leakage.contained(texts, table, WordHashes())
+    found = set(zip(got["doc"].astype(int), got["item"].astype(int)))
+    assert found <= {(k, k) for k in range(60)} and len(found) >= 57
 
 
 def test_packing_keeps_every_token_and_splits_only_what_must_be(spark):
@@ -143,9 +182,18 @@ def test_every_stretch_of_windows_keeps_the_mixture():
             assert abs(sum(n for s, n, _ in part if s == k) / sum(n for _, n, _ in part) - share[k]) < 0.03
 
 
+def test_mixture_of_containers(spark):
+    rows = [(i, " ".join(words(random.Random(i).randint(10, 60), i)), "abbbcccccc"[i % 10]) for i in range(600)]
+    got = packing.mixture(packing.pack(docs(spark, rows), 1_000, shard_windows=40)).toPandas()
+    assert (got.groupby("container_id")["n_tokens"].sum() == got.groupby("container_id")["container_tokens"].first()).all()
+    late = got[got["container_id"] % (1 << 32) >= 10]
+    assert len(late) and ((late["running_tokens"] - late["target"]).abs() < 2_000).all()
+    assert packing.mixture(packing.pack(docs(spark, []), 100)).count() == 0
+
+
 def test_starting_credit_is_carried_over():
     share = {"a": 0.5, "b": 0.5}
-    first = packing.pack_shard([("a", 100, 0), ("b", 100, 1)], 100, share, {"a": 0.0, "b": 30.0})
+    first = packing.pack_shard([("a", 100, 0), ("b", 100, 1)], 100, share, {"a": -60.0, "b": 0.0})
     assert first[0] == (0, 1)
 
 

@@ -169,8 +169,8 @@ def test_neighbours_recall(spark):
     np.fill_diagonal(s, -2)
     df = frame(spark, rows)
     asked = spark.createDataFrame([(int(i),) for i in ids[::5]] + [(int(ids[0]),), (None,), (10**9,)], "query_id long")
-    for block in (4_096, 40):
-        got = neighbours.nearest(df, asked, 5, query_block=block).collect()
+    for task_rows in (50_000, 60):
+        got = neighbours.nearest(df, asked, 5, task_rows=task_rows).collect()
         assert len(got) == 5 * len(ids[::5])
         found = {(r["query_id"], r["image_id"]) for r in got}
         want = {(int(i), int(ids[j])) for k, i in enumerate(ids) if k % 5 == 0 for j in np.argsort(-s[k])[:5]}

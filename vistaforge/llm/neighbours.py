@@ -3,27 +3,33 @@
 Encoding: every vector is a sum of one entry from each of ``BOOKS`` full-dimensional codebooks, trained level by level on the
 residuals of a bounded sample; codes are found by beam search. Kept per row are its codes, the norm of the decoded sum and the vector.
 
+Routing: rows go to the cell of the centre they are most similar to, once. A query visits the cells in the order of its similarity to their
+centres, as many as neighbours within the sample lie in with a share of ``REACH``; that is measured apart for queries of each
+of ``CLASSES`` classes of similarity to their best centre, so a query inside a dense region visits few cells and one that is like nothing
+may visit all. Large cells get more centres; what is still large is spread by id, and its queries go to every part.
+
 Scoring: for a query the products with all codebook entries form lookup tables (two codebooks share one table), so
-the cosine with a decoded row is a sum of table entries over the stored norm. The best rows of each batch by that score are
-reranked by the exact cosine in the same task, which holds their vectors: no join, and the shuffle carries k rows
-per query and partition. Every row is encoded; queries go over the rows in blocks.
+the cosine with a decoded row is a sum of table entries over the stored norm. The best rows of each cell by that score are
+reranked by the exact cosine in the same task, which holds their vectors: the shuffle carries every row once, the queries, and k rows
+per query and cell visited. Every row is encoded; the plan is the same for any number of queries.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vistaforge.llm.vectors import ID, VEC, bounded_sample, one_per_id, prepared, unit_rows
-from vistaforge.session import cut
+from vistaforge.llm.vectors import ID, VEC, bounded_sample, coarse_centres, one_per_id, prepared, unit_rows
+from vistaforge.session import written
 
 BOOKS, WORDS, BEAM = 16, 64, 4
 RERANK = 256
-QUERY_BLOCK = 4_096
+REACH, CLASSES, TRIED = 0.97, 8, 2_000
+TASK_ROWS = 50_000
+NOWHERE = 0.5
+SCORES = 4_000_000
 
 
 def train_codebooks(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 6, seed: int = 5) -> np.ndarray:
@@ -88,8 +94,9 @@ def table_scores(q: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.
 
 def _search_batch(qid, q, ids, v, codes, norms, books, k, rerank):
     found = []
-    for at in range(0, len(q), 128):
-        some, own = q[at : at + 128], qid[at : at + 128]
+    step = int(np.clip(SCORES // max(len(v), 1), 1, 128))
+    for at in range(0, len(q), step):
+        some, own = q[at : at + step], qid[at : at + step]
         approx = table_scores(some, books, codes, norms)
         r = min(rerank, approx.shape[1])
         top = np.argpartition(-approx, r - 1, axis=1)[:, :r] if r < approx.shape[1] else np.broadcast_to(np.arange(r), (len(some), r))
@@ -102,59 +109,99 @@ def _search_batch(qid, q, ids, v, codes, norms, books, k, rerank):
     return out[np.isfinite(out["sim"])]
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = ID, vec_col: str = VEC, rerank: int = RERANK, query_block: int = QUERY_BLOCK) -> DataFrame:
+class Routes:
+    """Centres, how many cells a query visits by its similarity to the best of them, and the parts of each cell."""
+
+    def __init__(self, sample: np.ndarray, total: int, task_rows: int, k: int) -> None:
+        scale = total / len(sample)
+        self.centres = coarse_centres(sample)
+        home = self.order(sample)[:, 0] - 1
+        kept, rng = [], np.random.default_rng(89)
+        for c in range(-1, len(self.centres)):
+            own = np.flatnonzero(home == c)
+            more = min(len(own), int(2 * len(own) * scale / task_rows))
+            if more > 1:
+                kept.append(sample[rng.choice(own, more, replace=False)])
+            elif c >= 0:
+                kept.append(self.centres[c : c + 1])
+        self.centres = np.concatenate(kept) if kept else self.centres
+        order = self.order(sample)
+        self.parts = np.maximum(1, np.ceil(np.bincount(order[:, 0], minlength=order.shape[1]) * scale / task_rows).astype(np.int64))
+        tried = rng.permutation(len(sample))[:TRIED]
+        sims = sample[tried] @ sample.T
+        sims[np.arange(len(tried)), tried] = -2
+        near = np.argsort(-sims, axis=1)[:, : min(k, len(sample) - 1)]
+        place = np.argsort(order[tried], axis=1)
+        rank = np.take_along_axis(place, order[near, 0], axis=1)
+        best = self.best(sample[tried])
+        self.limits = np.quantile(best, np.arange(1, CLASSES) / CLASSES)
+        of = np.searchsorted(self.limits, best)
+        self.visits = np.array([int(np.quantile(rank[of == i], REACH, method="higher")) + 1 if (of == i).any() and rank.size else order.shape[1] for i in range(CLASSES)])
+
+    def best(self, v: np.ndarray) -> np.ndarray:
+        return (v @ self.centres.T).max(axis=1, initial=-1)
+
+    def order(self, v: np.ndarray) -> np.ndarray:
+        """(rows, cells): cells from the nearest on; cell 0 is that of rows near no centre."""
+        return np.argsort(-np.concatenate([np.full((len(v), 1), NOWHERE, np.float32), v @ self.centres.T], axis=1), axis=1, kind="stable")
+
+    def homes(self, v: np.ndarray) -> np.ndarray:
+        return np.where(self.best(v) > NOWHERE, (v @ self.centres.T).argmax(axis=1) + 1 if len(self.centres) else 0, 0)
+
+    def visited(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, cell, part) of all that the queries visit."""
+        n = self.visits[np.searchsorted(self.limits, self.best(v))]
+        row, at = np.nonzero(np.arange(len(self.parts))[None] < n[:, None])
+        cell = self.order(v)[row, at]
+        many = self.parts[cell]
+        part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(row, many), np.repeat(cell, many), part
+
+
+def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = ID, vec_col: str = VEC, rerank: int = RERANK, task_rows: int = TASK_ROWS) -> DataFrame:
     """``(query_id, rank, image_id, sim)``: for each id of ``queries`` the k other ids most similar to it.
 
     ``queries`` has a column ``query_id`` of ids of ``df``; NULL, unknown and unusable ones give no rows, repeated ones
-    count once. A repeated id is one record; of equal similarities any may come out, ordered by id. Fewer than k others give
-    fewer rows; empty tables give none. ``rerank`` rows per query and Arrow batch are compared exactly (measured
-    recall is in the README).
+    count once. A repeated id is one record; of equal similarities any may come out, ordered by id. Fewer than k others in the cells
+    visited give fewer rows; empty tables give none. ``rerank`` rows per query and cell are compared exactly (measured recall is in the README).
     """
     spark = df.sparkSession
     rows = one_per_id(prepared(df, id_col, vec_col))
-    wanted = queries.select(F.col("query_id").cast("long").alias("id")).filter("id is not null").distinct()
+    wanted = written(queries.select(F.col("query_id").cast("long").alias("id")).filter("id is not null").distinct())
     total = df.count()
     sample = bounded_sample(prepared(df, id_col, vec_col), total)
     schema = "query_id long, id long, sim double"
-    found = spark.createDataFrame([], schema)
-    if len(sample):
-        dim = sample.shape[1]
-        books = train_codebooks(sample)
-        blocks = max(1, math.ceil(wanted.count() / query_block))
-        query_rows = rows.join(wanted, "id", "left_semi").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-
-        def encoded(batches):
-            for pdf in batches:
-                at, v = unit_rows(pdf["vec"], dim)
-                if len(at):
-                    codes, norms = encode(v, books)
-                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[at], "codes": [x.tobytes() for x in codes], "norm": norms, "v": [x.tobytes() for x in v]})
-
-        index = rows.mapInPandas(encoded, "id long, codes binary, norm float, v binary")
-        if blocks > 1:
-            index, query_rows = cut(index), cut(query_rows)
-        for b in range(blocks):
-            part = query_rows.filter(F.col("block") == b).select("id", "vec").toPandas()
-            at, q = unit_rows(part["vec"], dim)
-            if not len(at):
-                continue
-            sent = spark.sparkContext.broadcast((part["id"].to_numpy()[at], q))
-
-            def search(batches, sent=sent):
-                qid, q = sent.value
-                best = None
-                for pdf in batches:
-                    if not len(pdf):
-                        continue
-                    codes = np.frombuffer(b"".join(pdf["codes"]), np.uint8).reshape(len(pdf), -1)
-                    v = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(len(pdf), -1)
-                    got = _search_batch(qid, q, pdf["id"].to_numpy(), v, codes, pdf["norm"].to_numpy(), books, k, rerank)
-                    best = got if best is None else pd.concat([best, got])
-                    best = best.sort_values(["query_id", "sim", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
-                if best is not None:
-                    yield best
-
-            found = found.unionByName(index.mapInPandas(search, schema))
+    if not len(sample):
+        return spark.createDataFrame([], "query_id long, rank int, image_id long, sim double")
+    dim, books, routes = sample.shape[1], train_codebooks(sample), Routes(sample, total, task_rows, k)
+
+    def encoded(batches):
+        for pdf in batches:
+            at, v = unit_rows(pdf["vec"], dim)
+            if len(at):
+                ids, cell, (codes, norms) = pdf["id"].to_numpy()[at], routes.homes(v), encode(v, books)
+                part = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % routes.parts[cell]
+                yield pd.DataFrame({"cell": cell, "part": part, "id": ids, "codes": [x.tobytes() for x in codes], "norm": norms, "v": [x.tobytes() for x in v]})
+
+    def asked(batches):
+        for pdf in batches:
+            at, v = unit_rows(pdf["vec"], dim)
+            ids = pdf["id"].to_numpy()[at]
+            for i in range(0, len(at), 1_024):
+                some = v[i : i + 1_024]
+                row, cell, part = routes.visited(some)
+                yield pd.DataFrame({"cell": cell, "part": part, "id": ids[i + row], "v": [x.tobytes() for x in some[row]]})
+
+    def search(key, left, right):
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "id": [], "sim": []}).astype({"query_id": np.int64, "id": np.int64})
+        codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1)
+        v, q = (np.frombuffer(b"".join(x["v"]), np.float32).reshape(len(x), -1) for x in (left, right))
+        return _search_batch(right["id"].to_numpy(), q, left["id"].to_numpy(), v, codes, left["norm"].to_numpy(), books, k, rerank)
+
+    index = rows.mapInPandas(encoded, "cell int, part int, id long, codes binary, norm float, v binary")
+    visits = rows.join(wanted, "id", "left_semi").mapInPandas(asked, "cell int, part int, id long, v binary")
+    found = index.groupBy("cell", "part").cogroup(visits.groupBy("cell", "part")).applyInPandas(search, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("image_id"), "sim")
 

@@ -1,8 +1,9 @@
 """Documents into containers of fixed token capacity, with controlled mixture of sources.
 
 Documents are spread over shards by a hash of their id; each shard is packed by deficit round-robin over one queue per source.
-Every window (container) credits each source with its target share of the capacity; the source with the largest credit
-whose queue holds an item that fits gives its largest such item and pays for it. Credit left over is carried
+Every window (container) credits each source with its target share of the capacity, its quantum. The sources then have their turns, from
+another one on in each window: a source with credit gives the longest item that fits, pays for it, if need be with debt, and waits for
+the next round. Room that is left when no source with an item that fits has credit goes to the one with least debt. Credit and debt are carried
 from window to window. It is also carried from shard to shard: a shard packs all it holds, so the credit it ends with is known
 from its token totals alone, and a running sum over the small table of totals gives every shard its starting
 credit without packing the shards one after another.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistaforge.llm.text import id_again, id_and_flag
-from vistaforge.session import cut
+from vistaforge.session import cut, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenising pattern that belongs to the vocabulary (fixed value).
@@ -66,7 +67,7 @@ class Queue:
     def least(self) -> float:
         return self.sizes[0] if self.sizes else math.inf
 
-    def take(self, room: int) -> tuple[int, int]:
+    def take(self, room: float) -> tuple[int, int]:
         at = bisect_right(self.sizes, room) - 1
         self.sizes.pop(at)
         return self.items.pop(at)
@@ -80,15 +81,18 @@ def pack_shard(items: list[tuple[str, int, int]], capacity: int, share: dict[str
         room = capacity
         for s, part in share.items():
             credit[s] = credit.get(s, 0.0) + part * capacity
-        while True:
-            fit = [s for s, q in queues.items() if q.least() <= room]
-            if not fit:
-                break
-            s = max(fit, key=lambda x: (credit.get(x, 0.0), x))
-            n, item = queues[s].take(room)
-            placed.append((window, item))
-            credit[s] = credit.get(s, 0.0) - n
-            room -= n
+        turns, gave = list(queues), True
+        turns = turns[window % len(turns) :] + turns[: window % len(turns)]
+        while gave:
+            gave = False
+            ready = [s for s in turns if queues[s].least() <= room and credit.get(s, 0.0) > 0]
+            for s in ready or [max((s for s in turns if queues[s].least() <= room), key=lambda x: (credit.get(x, 0.0), x), default="")]:
+                if s in queues and queues[s].least() <= room:
+                    n, item = queues[s].take(room)
+                    placed.append((window, item))
+                    credit[s] = credit.get(s, 0.0) - n
+                    room -= n
+                    gave = True
         for s, part in share.items():
             credit[s] -= part * room
         window += 1
@@ -155,6 +159,20 @@ def pack(df: DataFrame, capacity: int, tokenizer: str = TOKENIZER, mixture: dict
     return packed.select("container_id", id_again(), "source", "piece", "start_token", "n_tokens")
 
 
+def mixture(packed: DataFrame) -> DataFrame:
+    """``(container_id, source, n_tokens, container_tokens, running_tokens, target)``: what each source has in each container, what it has in
+    all containers up to that one of the same shard, and how much of those it would have at its share of all tokens. An empty table gives no rows."""
+    shard = F.shiftright("container_id", 32)
+    own = written(packed.groupBy("container_id", "source").agg(F.sum("n_tokens").alias("n_tokens")))
+    whole = own.groupBy("container_id").agg(F.sum("n_tokens").alias("container_tokens"))
+    up_to = Window.partitionBy(shard).orderBy("container_id")
+    whole = whole.withColumn("running_all", F.sum("container_tokens").over(up_to))
+    shares = own.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens")).crossJoin(own.agg(F.sum("n_tokens").alias("all_tokens")))
+    running = F.sum("n_tokens").over(Window.partitionBy(shard, "source").orderBy("container_id"))
+    out = own.join(whole, "container_id").join(F.broadcast(shares), "source").withColumn("running_tokens", running)
+    return out.select("container_id", "source", "n_tokens", "container_tokens", "running_tokens", F.round(F.col("running_all") * F.col("source_tokens") / F.col("all_tokens"), 3).alias("target"))
+
+
 def split_documents(packed: DataFrame) -> DataFrame:
     """Ids of the documents that had to be split."""
     return packed.filter("piece > 0 and doc_id is not null").select("doc_id").distinct()

@@ -87,6 +87,10 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_t(spark, d, "documents"), _capacity(spark, d))
 
 
+def p6_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return packing.mixture(packing.pack(_t(spark, d, "documents"), _capacity(spark, d)))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -96,11 +100,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.repetition(_t(spark, d, "documents"), exact_everywhere=True)
+    return repetition.repetition(_t(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_leximin, p3_found, p3_neighbours, p4_coverage, p4_subset, p5_found, p5_clusters, p6_found, p6_containers, p7_found, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_leximin, p3_found, p3_neighbours, p4_coverage, p4_subset, p5_found, p5_clusters, p6_found, p6_containers, p6_mixture, p7_found, p8_found, p8_shares)}
 
 
 _P2 = """

@@ -1,12 +1,12 @@
-"""Repeated content inside a document: compression bands as a description, the exact share as the measure.
+"""Repeated content inside a document: compression bands reject, the exact share decides.
 
-The letters of a text, lower-cased, are compressed with zstandard as a whole and in fixed chunks. How far a text compresses
-depends on its length, so the limits do: a ratio under the lower limit of the text's length class means repetition, one over
-the upper limit noise. Chunk ratios find repetition packed into one place of a long text.
+The letters of a text, lower-cased, are compressed with zstandard as a whole and in fixed chunks (the last one ends with the text). How far
+a text compresses depends on its length, so the limits do: a text whose ratio lies over the lower limit of its length class is no
+candidate, one over the upper limit is noise. Chunk ratios find repetition packed into one place of a long text.
 
-No ratio bounds the share of repeated words: a text half repeated with altered words compresses as little as a normal one, and how
-far depends on its vocabulary. Whether a document repeats itself is therefore decided by the exact share alone: a word is repeated
-if it lies in a window of ``WINDOW`` words that occurred earlier in the text with at most one word altered. Windows are compared by
+The lower limits only reject: they lie 0.07 or more above the greatest ratio of texts planted so that just over half of their words are
+repeated and every eighth word of the copies is replaced by random letters, the hardest that still counts as repeated. In a candidate a word is
+repeated if it lies in a window of ``WINDOW`` words that occurred earlier in the text with at most one word altered. Windows are compared by
 hashes of the whole window and of the window with one word left out, in each place, so the cost is linear up to sorting.
 
 One pass over the texts, no shuffle; each task works through its rows document by document.
@@ -24,9 +24,9 @@ from vistaforge.llm.text import LETTERS, MIX, WordHashes, finish, hashed, id_aga
 
 WINDOW, SEED_WORDS = 8, 4
 CHUNK = 4_096
-#: Least bytes of a length class, ratio under which a text (or chunk) is repetitive, ratio over which it is noise.
-BANDS = ((0, 0.70, 1.60), (256, 0.48, 1.00), (1_024, 0.36, 0.80), (4_096, 0.30, 0.75), (16_384, 0.22, 0.70))
-CHUNK_LOW = 0.25
+#: Least bytes of a length class, ratio up to which a text may be repetitive, ratio over which it is noise.
+BANDS = ((0, 0.95, 1.60), (256, 0.62, 1.00), (512, 0.53, 0.90), (1_024, 0.48, 0.80), (2_048, 0.43, 0.80), (4_096, 0.40, 0.75), (8_192, 0.38, 0.75), (16_384, 0.37, 0.70), (65_536, 0.35, 0.70))
+CHUNK_LOW = 0.40
 
 
 def repeated_words(w: np.ndarray) -> int:
@@ -63,7 +63,13 @@ def band_limits(size: int) -> tuple[float, float]:
     return next((low, high) for least, low, high in reversed(BANDS) if size >= least)
 
 
-def measured(texts, exact_everywhere: bool = False):
+def chunk_ratio(raw: bytes, z: zstandard.ZstdCompressor) -> float | None:
+    """Least ratio of the text's chunks; None for a text of less than a chunk."""
+    starts = [*range(0, len(raw) - CHUNK, CHUNK), len(raw) - CHUNK] if len(raw) >= CHUNK else []
+    return min((len(z.compress(raw[i : i + CHUNK])) / CHUNK for i in starts), default=None)
+
+
+def measured(texts, exact_everywhere: bool = True):
     """Rows (ratio, least chunk ratio, band, words, repeated) of an iterable of texts."""
     z, cache = zstandard.ZstdCompressor(level=3), WordHashes()
     for text in texts:
@@ -73,19 +79,19 @@ def measured(texts, exact_everywhere: bool = False):
             continue
         raw = " ".join(words).encode()
         ratio = len(z.compress(raw)) / len(raw)
-        chunks = [len(z.compress(raw[i : i + CHUNK])) / CHUNK for i in range(0, len(raw) - CHUNK + 1, CHUNK)]
-        chunk = min(chunks, default=ratio)
+        chunk = chunk_ratio(raw, z)
+        chunk = ratio if chunk is None else chunk
         low, high = band_limits(len(raw))
-        band = "repetitive" if ratio < low or chunk < CHUNK_LOW else "noise" if ratio > high else "normal"
+        band = "repetitive" if ratio < low or len(raw) >= CHUNK and chunk < CHUNK_LOW else "noise" if ratio > high else "normal"
         repeated = repeated_words(hashed(words, cache)) if exact_everywhere or band == "repetitive" else None
         yield ratio, chunk, band, len(words), repeated
 
 
-def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_everywhere: bool = False) -> DataFrame:
+def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_everywhere: bool = True) -> DataFrame:
     """``(doc_id, ratio, chunk_ratio, band, n_words, repeated_words, repeated_share)``, a row per row of ``df``.
 
-    band is ``repetitive``, ``normal``, ``noise`` or ``empty`` (NULL, empty or wordless text: ratios are NULL, share 0).
-    repeated_* is measured for repetitive texts, and for all others only with ``exact_everywhere`` (else NULL).
+    band is ``repetitive`` (may be), ``normal``, ``noise`` or ``empty`` (NULL, empty or wordless text: ratios are NULL, share 0).
+    repeated_* is exact for every text; without ``exact_everywhere`` it is NULL for those the bands reject.
     Repeated rows and NULL ids are kept as they are; an empty table gives no rows.
     """
 
@@ -102,5 +108,6 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ex
 
 
 def repetitive_documents(df: DataFrame, share: float = 0.5) -> DataFrame:
-    """Ids of the documents of which more than ``share`` of the words repeat what the text said before."""
-    return repetition(df, exact_everywhere=True).filter(F.col("repeated_share") > share).select("doc_id").filter("doc_id is not null").distinct()
+    """Ids of the documents of which more than ``share``, one half at least, of the words repeat what the text said before; texts that the bands
+    reject are not measured."""
+    return repetition(df, exact_everywhere=False).filter(F.col("repeated_share") > share).select("doc_id").filter("doc_id is not null").distinct()
