@@ -66,6 +66,38 @@ def test_verdicts_and_browsing(engine):
         ask(engine, "nearest")
 
 
+@pytest.mark.parametrize("features", ["dinosalad", "mast3r"])
+def test_queries_described_by_the_models_of_the_index(spark, tmp_path, features):
+    from vistaforge.plans.engine import describer
+    from vistaforge.sources import cache, images
+
+    folder = tmp_path / "imgs"
+    folder.mkdir()
+    for i in range(12):
+        (folder / f"{i:02}.png").write_bytes(images.encode_png(np.random.default_rng(i).integers(0, 256, (20, 30, 3)).astype(np.uint8)))
+    config = Config().with_options(input_dir=str(folder), global_features=features, num_local_features=60, quantize_local_desc=True, matching_method="snn")
+    index = build_index(spark, str(folder), config, global_model, local_model, str(tmp_path / "idx"), k=5)
+    assert spark.read.parquet(index.features_path).groupBy("image_id").count().filter("count = 60").count() == 12
+    e = Engine(spark, index, config, describer(spark, config, global_model, local_model))
+    assert ask(e)["images"][0]["path"].endswith("07.png")
+    assert len(ask(e, "similarity-bbox", limit=4)["images"]) <= 4
+    if features == "mast3r":
+        counts = spark.read.parquet(index.features_path).groupBy("image_id").agg({"*": "count"}).withColumnRenamed("count(1)", "n")
+        from vistaforge.operators import shapes
+
+        part = cache.feature_slice(spark, index.features_path, shapes.feature_offsets(counts), 50, 130).collect()
+        assert sorted(r["row"] for r in part) == list(range(50, 130)) and {r["image_id"] for r in part} == {0, 1, 2}
+
+
+def test_every_option_offered_answers(engine):
+    from vistaforge.operators.serve import capabilities
+
+    options = {o["id"]: o for o in capabilities()["data"]["engine_options"]}["matching_method"]
+    assert options["default"] in options["values"]
+    for method in options["values"]:
+        assert len(ask(engine, "num-inliers", matching_method=method)["images"]) == 5
+
+
 def test_stored_features_of_a_shortlist(engine, spark):
     got = shortlisted_features(spark, engine.index, engine.config, spark.createDataFrame([(3,), (3,)], "image_id long"))
     assert got.count() == 80

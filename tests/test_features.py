@@ -30,7 +30,7 @@ def test_matchers_on_few_features(spark):
     assert match.match_features(q.limit(0), d, "snn").count() == 0
     assert match.match_features(q, d.limit(0), "mnn").count() == 0
     with pytest.raises(NotImplementedError):
-        match.match_features(q, d, "adalam")
+        match.match_features(q, d, "lightglue")
     match.register_matcher("first", lambda a, b: (np.array([0]), np.array([0]), np.array([1.0])))
     assert match.match_features(q, d, "first").count() == 1
     del match.METHODS["first"]
@@ -120,3 +120,41 @@ def test_shapes(spark):
     assert shapes.feature_offsets(spark.createDataFrame([], "image_id long, n long")).count() == 0
     assert shapes.commonest_shape(spark.createDataFrame([(1, 2), (1, 2), (3, 4)], "h int, w int")).first()["n"] == 2
     assert s.select(F.count("*")).first()[0] == 5
+
+
+def test_spatial_matching_keeps_what_moves_alike(spark):
+    rng = np.random.default_rng(1)
+    n = 240
+    q = rng.normal(size=(n, 32))
+    d = q + 0.05 * rng.normal(size=q.shape)
+    at = rng.uniform(0, 400, (n, 2))
+    turn = np.array([[0.9, -0.3], [0.3, 0.9]])
+    moved = at @ turn.T + (30, 10)
+    wrong = np.arange(n) >= 160
+    moved[wrong] = rng.uniform(0, 400, (wrong.sum(), 2))
+    rows = lambda x, p, name, i: spark.createDataFrame([(i, k, v.tolist(), float(a), float(b)) for k, (v, (a, b)) in enumerate(zip(x, p))], f"{name} long, kp_idx long, desc array<double>, x double, y double")
+    got = match.match_features(rows(q, at, "query_id", 1), rows(d, moved, "image_id", 2), "adalam", error=0.5, area=1 / 10).collect()
+    pairs = {(r["q_idx"], r["db_idx"]) for r in got}
+    assert len({p for p in pairs if p[0] < 160}) > 140 and len({p for p in pairs if p[0] >= 160}) < 8
+    assert match.locally_affine(q[:2], d[:2], at[:2], moved[:2])[0].size == 0
+
+
+def test_matching_a_shortlist_meets_only_its_pairs(spark):
+    x = np.eye(6)
+    q = feats(spark, x, "query_id", 1).unionByName(feats(spark, x, "query_id", 2))
+    d = feats(spark, x, "image_id", 7).unionByName(feats(spark, x, "image_id", 8))
+    short = spark.createDataFrame([(1, 7), (2, 8), (1, 8), (1, 8), (9, 7)], "query_id long, image_id long")
+    got = match.match_features(q, d, "mnn", short, threshold=0)
+    assert sorted({(r["query_id"], r["image_id"]) for r in got.collect()}) == [(1, 7), (1, 8), (2, 8)] and got.count() == 18
+    assert match.match_features(q, d, "mnn", threshold=0).count() == 24
+
+
+def test_transport_is_of_its_form_and_settles_at_its_sums():
+    rng = np.random.default_rng(2)
+    s = 3 * rng.normal(size=(4, 30))
+    p = np.exp(planes.transport_weights(s, 1.0, 200))
+    assert np.allclose(p.sum(axis=0), 1) and np.allclose(p.sum(axis=1), [1, 1, 1, 1, 26], atol=1e-6)
+    k = np.log(p) - np.vstack([s, np.ones(30)])
+    assert np.allclose(k - k[:1], (k - k[:1])[:, :1], atol=1e-9)
+    with pytest.raises(ValueError):
+        planes.transport_weights(s.T)

@@ -91,3 +91,33 @@ def test_inverted_file_finds_the_image_itself(spark):
     index = asmk.postings(f, asmk.train_words(f, 8)).cache()
     best = asmk.query_inverted_file(index, index.withColumnRenamed("image_id", "query_id"), 1).collect()
     assert len(best) == 12 and all(r["query_id"] == r["image_id"] for r in best)
+
+
+def test_routed_neighbours_and_graph(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 24))
+    x = np.concatenate([c + 0.35 * rng.normal(size=(60, 24)) for c in centres] + [rng.normal(size=(40, 24))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(9_000, None), (9_001, []), (9_002, [0.0] * 24), (None, [1.0] * 24)], "image_id long, embedding array<double>")
+    want = {(i, int(j)) for i, row in enumerate(x @ x.T) for j in np.argsort(-row)[:10]}
+    got = knn.routed_topk(df, 10, task_rows=100).collect()
+    found = {(r["query_id"], r["image_id"]) for r in got}
+    assert len(got) == len(found) and max(r["rank"] for r in got) == 10
+    assert len(found & want) >= 0.93 * len(want)
+    assert all(abs(r["value"] - x[r["query_id"]] @ x[r["image_id"]]) < 1e-5 for r in got[::50])
+    assert knn.routed_topk(df.limit(0), 10).count() == 0
+    clean = df.filter("size(embedding) = 24 and image_id is not null and image_id < 9000")
+    exact, routed = (graph.kernel_edges(clean, 5, exact_rows=n).collect() for n in (10_000, 100))
+    assert len({(r["src"], r["dst"]) for r in exact} & {(r["src"], r["dst"]) for r in routed}) >= 0.93 * len(exact)
+
+
+def test_conjugate_residual_on_tables_is_minres(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "image_id long, embedding array<double>")
+    wn = graph.normalized_graph(df, 10).cache()
+    seed = graph.query_seed(df, df.filter("image_id in (1, 2)").withColumnRenamed("image_id", "query_id"), 5)
+    one, two = ({(r["query_id"], r["image_id"]): r["f"] for r in f.collect()} for f in (diffusion.minres(wn, seed, steps=6), diffusion.diffuse(wn, seed, steps=6, task_edges=1)))
+    assert all(abs(f - two.get(k, 0.0)) < 1e-6 for k, f in one.items()) and two.keys() <= one.keys()
+    assert diffusion.conjugate_residual(wn, seed.limit(0), steps=3).count() == 0

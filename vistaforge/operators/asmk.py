@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistaforge.operators.knn import matrix
@@ -34,6 +34,16 @@ def train_words(features: DataFrame, words: int = 64, rounds: int = 10, seed: in
     return c
 
 
+def words_table(spark: SparkSession, words: np.ndarray) -> DataFrame:
+    """``(word_id, centre)``: the codebook as a table to store."""
+    return spark.createDataFrame([(i, [float(x) for x in w]) for i, w in enumerate(words)], "word_id int, centre array<double>")
+
+
+def words_of(table: DataFrame) -> np.ndarray:
+    """The codebook of a stored table; its size is that of the training."""
+    return matrix(table.orderBy("word_id").toPandas()["centre"])
+
+
 def postings(features: DataFrame, words: np.ndarray, id_col: str = "image_id") -> DataFrame:
     """``(image_id, word_id, code)``: signs of the summed residuals of an image at a word. Sums of a partition are made
     before the shuffle."""

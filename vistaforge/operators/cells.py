@@ -15,6 +15,10 @@ from vistaforge.session import written
 SAMPLE_ROWS = 16_000
 ID, VEC = "image_id", "global_descs"
 PLANTED = 1_000
+#: Share of a query's neighbours whose cells it must visit, classes of queries, queries tried within the sample.
+REACH, CLASSES, TRIED = 0.97, 8, 2_000
+#: Similarity below which a row is near no centre.
+NOWHERE = 0.5
 
 
 def unit_rows(vectors: pd.Series, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -218,3 +222,61 @@ def parts_of_cell(ids: np.ndarray, own: np.ndarray, centre: np.ndarray, size: fl
         c *= 2
     cheap = 1 - rest + rest * count <= best.near
     return spread if cheap or best.load * size > 2 and best.load > spread.load else best
+
+
+class Routes:
+    """How rows and queries of a neighbour search meet in cells.
+
+    A row goes to the cell of the centre it is most similar to, or of none. A query visits the cells in the order of its similarity to
+    their centres, as many as hold a share of ``REACH`` of the neighbours that queries of its class have within the sample; classes are by
+    similarity to the best centre, so a query inside a dense region visits few cells and one that is like nothing may visit
+    all. Large cells get more centres; what is still large is spread over parts, all of which a query visits."""
+
+    def __init__(self, sample: np.ndarray, total: int, task_rows: int, k: int) -> None:
+        scale = total / len(sample)
+        self.centres = coarse_centres(sample)
+        home = self.order(sample)[:, 0] - 1
+        kept, rng = [], np.random.default_rng(89)
+        for c in range(-1, len(self.centres)):
+            own = np.flatnonzero(home == c)
+            more = min(len(own), int(2 * len(own) * scale / task_rows))
+            if more > 1:
+                kept.append(sample[rng.choice(own, more, replace=False)])
+            elif c >= 0:
+                kept.append(self.centres[c : c + 1])
+        self.centres = np.concatenate(kept) if kept else self.centres
+        order = self.order(sample)
+        self.parts = np.maximum(1, np.ceil(np.bincount(order[:, 0], minlength=order.shape[1]) * scale / task_rows).astype(np.int64))
+        tried = rng.permutation(len(sample))[:TRIED]
+        sims = sample[tried] @ sample.T
+        sims[np.arange(len(tried)), tried] = -2
+        near = np.argsort(-sims, axis=1)[:, : min(k, len(sample) - 1)]
+        place = np.argsort(order[tried], axis=1)
+        rank = np.take_along_axis(place, order[near, 0], axis=1)
+        best = self.best(sample[tried])
+        self.limits = np.quantile(best, np.arange(1, CLASSES) / CLASSES)
+        of = np.searchsorted(self.limits, best)
+        self.visits = np.array([int(np.quantile(rank[of == i], REACH, method="higher")) + 1 if (of == i).any() and rank.size else order.shape[1] for i in range(CLASSES)])
+
+    def best(self, v: np.ndarray) -> np.ndarray:
+        return (v @ self.centres.T).max(axis=1, initial=-1)
+
+    def order(self, v: np.ndarray) -> np.ndarray:
+        """(rows, cells): cells from the nearest on; cell 0 is that of rows near no centre."""
+        return np.argsort(-np.concatenate([np.full((len(v), 1), NOWHERE, np.float32), v @ self.centres.T], axis=1), axis=1, kind="stable")
+
+    def homes(self, v: np.ndarray) -> np.ndarray:
+        return np.where(self.best(v) > NOWHERE, (v @ self.centres.T).argmax(axis=1) + 1 if len(self.centres) else 0, 0)
+
+    def part_of(self, ids: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The part of its cell that each row is in."""
+        return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % self.parts[cell]
+
+    def visited(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, cell, part) of all that the queries visit."""
+        n = self.visits[np.searchsorted(self.limits, self.best(v))]
+        row, at = np.nonzero(np.arange(len(self.parts))[None] < n[:, None])
+        cell = self.order(v)[row, at]
+        many = self.parts[cell]
+        part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(row, many), np.repeat(cell, many), part

@@ -1,7 +1,7 @@
 """Ranking by diffusion over the normalised graph: (I - alpha Wn) f = q.
 
-``neumann`` iterates f <- q + alpha Wn f on tables, cutting lineage in the shared folder, and works at any size. The Krylov
-and spectral solvers work on one graph in one task and refuse more than ``MAX_TASK_EDGES`` edges.
+``neumann`` and ``conjugate_residual`` iterate on tables, cutting lineage in the shared folder, and work at any size. ``minres`` and the
+spectral solver work on one graph in one task and refuse more than ``MAX_TASK_EDGES`` edges. ``diffuse`` takes the Krylov solver that the size allows.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from vistaforge.session import cut
 ALPHA = 0.9
 MAX_TASK_EDGES = 20_000_000
 MAX_QUERIES = 4_096
+TINY = 1e-24
 
 
 def neumann(edges: DataFrame, seed: DataFrame, alpha: float = ALPHA, rounds: int = 20, cut_every: int = 4) -> DataFrame:
@@ -74,7 +75,7 @@ def minimum_residual(times, b: np.ndarray, steps: int) -> np.ndarray:
 
 def _in_one_task(edges: DataFrame, seed: DataFrame, solve) -> DataFrame:
     if edges.limit(MAX_TASK_EDGES + 1).count() > MAX_TASK_EDGES:
-        raise ValueError(f"the graph has more than {MAX_TASK_EDGES} edges; use neumann")
+        raise ValueError(f"the graph has more than {MAX_TASK_EDGES} edges; use conjugate_residual or neumann")
     e = edges.select(F.lit(0).alias("g"), "src", "dst", "w")
     s = seed.select(F.lit(0).alias("h"), "query_id", "image_id", "q")
 
@@ -96,6 +97,43 @@ def minres(edges: DataFrame, seed: DataFrame, alpha: float = ALPHA, steps: int =
     return _in_one_task(edges, seed, lambda a, qs: [(k, minimum_residual(lambda x: x - alpha * (a @ x), b, steps)) for k, b in qs])
 
 
+def conjugate_residual(edges: DataFrame, seed: DataFrame, alpha: float = ALPHA, steps: int = 10, cut_every: int = 2) -> DataFrame:
+    """``(query_id, image_id, f)``: the iterates of ``minres`` by two-term recurrences on tables.
+
+    A step is one product with the graph, two aggregations to a scalar per query, and joins of these few scalars; the residual of I - alpha Wn,
+    which is symmetric and positive, is least over the same spaces. Rows that nothing reaches are absent (zero).
+    """
+    e = cut(edges)
+    apply = lambda f: f.unionByName(graph_times(e, f, -alpha)).groupBy("query_id", "image_id").agg(F.sum("f").alias("f"))
+    r = cut(seed.select("query_id", "image_id", F.col("q").alias("f")))
+    ar = apply(r)
+    s = r.withColumnRenamed("f", "r").join(ar.withColumnRenamed("f", "ar"), ["query_id", "image_id"], "full").fillna(0.0)
+    s = cut(s.select("query_id", "image_id", F.lit(0.0).alias("x"), "r", "ar", F.col("r").alias("p"), F.col("ar").alias("ap")))
+    for i in range(1, steps + 1):
+        dots = s.groupBy("query_id").agg(F.sum(F.col("r") * F.col("ar")).alias("rar"), F.sum(F.col("ap") * F.col("ap")).alias("apap"))
+        s = s.join(dots, "query_id").withColumn("a", F.when((F.col("apap") > TINY) & (F.col("rar") > TINY), F.col("rar") / F.col("apap")).otherwise(F.lit(0.0)))
+        s = s.select("query_id", "image_id", "rar", (F.col("x") + F.col("a") * F.col("p")).alias("x"), (F.col("r") - F.col("a") * F.col("ap")).alias("r"), "p", "ap")
+        if i == steps:
+            break
+        s = cut(s) if i % cut_every == 0 else s
+        ar = apply(s.select("query_id", "image_id", F.col("r").alias("f"))).withColumnRenamed("f", "ar")
+        s = s.join(ar, ["query_id", "image_id"], "full").fillna(0.0, ["x", "r", "p", "ap", "ar"])
+        new = s.groupBy("query_id").agg(F.sum(F.col("r") * F.col("ar")).alias("new"), F.max("rar").alias("old"))
+        s = s.drop("rar").join(new, "query_id").withColumn("b", F.when(F.col("old") > TINY, F.col("new") / F.col("old")).otherwise(F.lit(0.0)))
+        s = cut(s.select("query_id", "image_id", "x", "r", "ar", (F.col("r") + F.col("b") * F.col("p")).alias("p"), (F.col("ar") + F.col("b") * F.col("ap")).alias("ap")))
+    return s.select("query_id", "image_id", F.col("x").alias("f"))
+
+
+def graph_times(edges: DataFrame, f: DataFrame, by: float) -> DataFrame:
+    return mat_vec(edges, f).withColumn("f", F.col("f") * by)
+
+
+def diffuse(edges: DataFrame, seed: DataFrame, alpha: float = ALPHA, steps: int = 10, task_edges: int = MAX_TASK_EDGES) -> DataFrame:
+    """``minres`` where the graph fits one task, else the same iterates on tables."""
+    small = edges.limit(task_edges + 1).count() <= task_edges
+    return minres(edges, seed, alpha, steps) if small else conjugate_residual(edges, seed, alpha, steps)
+
+
 def spectral(edges: DataFrame, seed: DataFrame, alpha: float = 0.99, rank: int = 2_000) -> DataFrame:
     """``(query_id, image_id, f)`` by the filter (1 - alpha) / (1 - alpha lambda) on the ``rank`` eigenpairs of largest
     magnitude; for graphs that fit one task."""

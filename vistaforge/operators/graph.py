@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistaforge.functions.vectors import sim_kernel
-from vistaforge.operators.knn import blocked_topk
+from vistaforge.operators.knn import blocked_topk, routed_topk
 from vistaforge.session import cut
 
 ROUND = 9
+EXACT_ROWS = 100_000
 
 
-def kernel_edges(df: DataFrame, k: int = 100, id_col: str = "image_id", vec_col: str = "embedding") -> DataFrame:
+def kernel_edges(df: DataFrame, k: int = 100, id_col: str = "image_id", vec_col: str = "embedding", exact_rows: int = EXACT_ROWS) -> DataFrame:
     """Edges of weight max(dot^3, 0) to the ``k`` most similar rows of every row, itself included, zero weights dropped.
 
-    One builder serves every size; rows are compared in blocks (see ``blocked_topk``)."""
-    q = df.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("embedding"))
-    near = blocked_topk(df, q, k, "dot", id_col, vec_col)
+    Up to ``exact_rows`` rows all are compared with all in blocks (``knn.blocked_topk``), whose cost is quadratic; beyond, rows are compared with
+    those of the cells they visit (``knn.routed_topk``), which misses few neighbours."""
+    if df.limit(exact_rows + 1).count() > exact_rows:
+        near = routed_topk(df, k, id_col, vec_col)
+    else:
+        q = df.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("embedding"))
+        near = blocked_topk(df, q, k, "dot", id_col, vec_col)
     return near.select(F.col("query_id").alias("src"), F.col("image_id").alias("dst"), F.round(sim_kernel("value"), ROUND).alias("w")).filter("w > 0")
 
 
@@ -51,9 +56,9 @@ def normalize(edges: DataFrame) -> DataFrame:
     return scaled.filter("ds > 0 and dd > 0").select("src", "dst", (F.col("w") / F.sqrt(F.col("ds") * F.col("dd"))).alias("w"))
 
 
-def normalized_graph(df: DataFrame, k: int = 100, id_col: str = "image_id", vec_col: str = "embedding") -> DataFrame:
+def normalized_graph(df: DataFrame, k: int = 100, id_col: str = "image_id", vec_col: str = "embedding", exact_rows: int = EXACT_ROWS) -> DataFrame:
     """The whole graph from vectors. Mutual edges are written once, as degrees and scaling both read them."""
-    return normalize(cut(mutual_min(kernel_edges(df, k, id_col, vec_col))))
+    return normalize(cut(mutual_min(kernel_edges(df, k, id_col, vec_col, exact_rows))))
 
 
 def query_seed(df: DataFrame, queries: DataFrame, keep: int = 50, id_col: str = "image_id", vec_col: str = "embedding") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact nearest vectors: shortlists of one query or many, and the similarity self-join."""
+"""Nearest vectors: exact shortlists of one query or many, and the similarity self-join, exact or routed over cells."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistaforge.functions.vectors import l2_distance, shortlist_score
+from vistaforge.operators.cells import Routes, bounded_sample, prepared, unit_rows
 
 QUERY_BLOCK = 4_096
 
@@ -88,8 +89,44 @@ def blocked_topk(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "image_id", value.alias("value"), "rank")
 
 
+def routed_topk(df: DataFrame, k: int, id_col: str = "image_id", vec_col: str = "embedding", task_rows: int = 20_000) -> DataFrame:
+    """``(query_id, image_id, value, rank)``: the ``k`` rows of greatest dot product for every row, itself included, among those of the cells
+    that it visits (``cells.Routes``; some neighbours of rows that are like few others are missed). Rows are shuffled once and again for
+    every cell they visit as a query; products are exact, one matrix product a cell. Unusable vectors are left out.
+    """
+    rows = prepared(df, id_col, vec_col)
+    total = df.count()
+    sample = bounded_sample(rows, total)
+    if not len(sample):
+        return df.sparkSession.createDataFrame([], "query_id long, image_id long, value double, rank int")
+    routes, dim = Routes(sample, total, task_rows, k), sample.shape[1]
+
+    def place(batches):
+        for pdf in batches:
+            at, v = unit_rows(pdf["vec"], dim)
+            ids, raw = pdf["id"].to_numpy()[at], [np.asarray(pdf["vec"].iloc[i], np.float64).tobytes() for i in at]
+            for i in range(0, len(at), 1_024):
+                some, own = v[i : i + 1_024], ids[i : i + 1_024]
+                home = routes.homes(some)
+                row, cell, part = routes.visited(some)
+                yield pd.DataFrame({"cell": home, "part": routes.part_of(own, home), "asks": False, "id": own, "v": raw[i : i + len(some)]})
+                yield pd.DataFrame({"cell": cell, "part": part, "asks": True, "id": own[row], "v": [raw[i + r] for r in row]})
+
+    def multiply(key, pdf):
+        x, asks, ids = np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(len(pdf), -1), pdf["asks"].to_numpy(), pdf["id"].to_numpy()
+        q, qid, v, out = x[asks], ids[asks], x[~asks], [pd.DataFrame({"query_id": [], "image_id": [], "value": []})]
+        for i in range(0, len(q) if len(v) else 0, 512):
+            out.append(top_pairs(qid[i : i + 512], q[i : i + 512], ids[~asks], q[i : i + 512] @ v.T, k))
+        return pd.concat(out)
+
+    met = rows.mapInPandas(place, "cell int, part int, asks boolean, id long, v binary").groupBy("cell", "part").applyInPandas(multiply, "query_id long, image_id long, value double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("value"), "image_id")
+    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def random_shortlist(df: DataFrame, k: int, seed: int = 0, id_col: str = "image_id") -> DataFrame:
-    """``(image_id, score)``: ``k`` different ids in a seeded random order with seeded uniform scores; fewer if there are fewer."""
+    """``(image_id, score, rank)``: ``k`` different ids in a seeded random order, from rank 0 on, with seeded uniform scores; fewer if there are fewer."""
     u = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("image_id")), F.lit(1 << 31)) / float(1 << 31)
     ids = df.select(F.col(id_col).alias("image_id")).filter("image_id is not null").distinct()
-    return ids.orderBy(u(1), "image_id").limit(k).select("image_id", u(2).alias("score"))
+    some = ids.withColumn("_u", u(1)).orderBy("_u", "image_id").limit(k)
+    return some.select("image_id", u(2).alias("score"), (F.row_number().over(Window.orderBy("_u", "image_id")) - 1).cast("long").alias("rank"))

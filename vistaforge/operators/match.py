@@ -1,8 +1,8 @@
 """Matching of local features of a query image against those of database images.
 
 Features are long tables ``(image_id, kp_idx, desc)``. A match is decided per (query, image) pair from all distances between
-the two sets, so a pair is one group: its size is bounded by the keypoint cap of the extractor, and the distances are one
-matrix product. Query features are sent to the tasks (checked against ``MAX_QUERY_ROWS``), so only database features
+the two sets. The features of an image are one group, whose size is bounded by the keypoint cap of the extractor; the queries that ask for it
+are gone through inside the group, so features are not repeated for them. Query features are sent to the tasks (checked against ``MAX_QUERY_ROWS``), so only database features
 are shuffled, once, by image.
 """
 
@@ -45,9 +45,8 @@ def smnn(q, d, threshold=0.99):
     dist = np.sqrt(_squared(q, d))
     i, j, r = _ratio_rows(dist, threshold)
     b, a, s = _ratio_rows(dist.T, threshold)
-    back = dict(zip(zip(a.tolist(), b.tolist()), s.tolist()))
-    keep = [k for k, p in enumerate(zip(i.tolist(), j.tolist())) if p in back]
-    return i[keep], j[keep], np.array([max(r[k], back[int(i[k]), int(j[k])]) for k in keep])
+    _, x, y = np.intersect1d(i * len(d) + j, a * len(d) + b, return_indices=True)
+    return i[x], j[x], np.maximum(r[x], s[y])
 
 
 def ratio_from_database(q, d, threshold=0.95):
@@ -87,6 +86,49 @@ def dual_softmax(q, d, beta=20.0, least=0.01):
     return i[best > least], to[i][best > least], best[best > least]
 
 
+def locally_affine(q, d, qxy, dxy, ratio=0.95, area=1 / 100, spread=4.0, fits=128, error=1.0, least=5, seed=0):
+    """Spatially adaptive matching (Cavalli, Larsson, Oswald, Sattler and Pollefeys 2020): a match is kept if the matches around it move alike.
+
+    Nearest neighbours are tentative matches, those whose ratio is best within a radius (the image's area over pi times ``1 / area`` discs) are
+    seeds, and a seed's neighbourhood are the tentative matches within ``spread`` radii of it on both sides. In it affine maps through
+    two matches and the seed are tried; the one with most matches within ``error`` of a tenth of the radius is fitted again to those, and a seed
+    that keeps ``least`` gives all of them. The value is the match's ratio.
+    """
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    rows, cols, value = _ratio_rows(np.sqrt(_squared(q, d)), np.inf)
+    if len(rows) < least:
+        return none
+    a, b = qxy[rows].astype(float), dxy[cols].astype(float)
+    reach = [np.sqrt(max(float(np.prod(np.ptp(x, axis=0))), 1e-9) * area / np.pi) for x in (a, b)]
+    apart = [np.sqrt(_squared(x, x)) for x in (a, b)]
+    better = (value[None] < value[:, None]) | ((value[None] == value[:, None]) & (np.arange(len(rows))[None] < np.arange(len(rows))[:, None]))
+    seeds = np.flatnonzero((value <= ratio) & ~((apart[0] < reach[0]) & better).any(axis=1))
+    kept, rng = np.zeros(len(rows), bool), np.random.default_rng(seed)
+    for s in seeds:
+        near = np.flatnonzero((apart[0][s] <= spread * reach[0]) & (apart[1][s] <= spread * reach[1]))
+        if len(near) < least:
+            continue
+        x, y = a[near] - a[s], b[near] - b[s]
+        two = rng.integers(0, len(near), (fits, 2))
+        base, image = x[two], y[two]
+        good = np.abs(np.linalg.det(base)) > 1e-9
+        if not good.any():
+            continue
+        maps = np.linalg.solve(base[good], image[good])
+        close = error * 0.1 * spread * reach[1]
+        hits = np.linalg.norm(x[None] @ maps - y[None], axis=2) <= close
+        inside = hits[hits.sum(axis=1).argmax()]
+        for _ in range(2):
+            if inside.sum() < least:
+                break
+            one = np.column_stack([x, np.ones(len(x))])
+            fit, *_ = np.linalg.lstsq(one[inside], y[inside], rcond=None)
+            inside = np.linalg.norm(one @ fit - y, axis=1) <= close
+        if inside.sum() >= least:
+            kept[near[inside]] = True
+    return rows[kept], cols[kept], value[kept]
+
+
 METHODS = {
     "snn": snn,
     "smnn": smnn,
@@ -95,12 +137,19 @@ METHODS = {
     "faiss_gpu": ratio_from_database_squared,
     "mnn": mutual_cosine,
     "dual_softmax": dual_softmax,
+    "adalam": locally_affine,
 }
 
 
-def register_matcher(name: str, fn) -> None:
-    """Slot for matchers that need a model or geometry: ``fn(q, d, **options) -> (q rows, d rows, values)``."""
+#: Methods that also get the places of the features: ``fn(q, d, qxy, dxy, **options)``.
+SPATIAL = {"adalam"}
+
+
+def register_matcher(name: str, fn, spatial: bool = False) -> None:
+    """Slot for matchers that need a model or geometry: ``fn(q, d, **options) -> (q rows, d rows, values)``, with the places of both
+    sides after the descriptors if ``spatial``."""
     METHODS[name] = fn
+    (SPATIAL.add if spatial else SPATIAL.discard)(name)
 
 
 def match_features(query: DataFrame, database: DataFrame, method: str = "smnn", shortlist: DataFrame | None = None, **options) -> DataFrame:
@@ -111,28 +160,31 @@ def match_features(query: DataFrame, database: DataFrame, method: str = "smnn",
     """
     if method not in METHODS:
         raise NotImplementedError(f"unknown matching method {method!r}; known: {sorted(METHODS)}")
-    fn = METHODS[method]
-    q = query.select("query_id", "kp_idx", "desc").filter("desc is not null").limit(MAX_QUERY_ROWS + 1).toPandas()
+    fn, spatial = METHODS[method], method in SPATIAL
+    cols = ["kp_idx", "desc", *(["x", "y"] if spatial else [])]
+    q = query.select("query_id", *cols).filter("desc is not null").limit(MAX_QUERY_ROWS + 1).toPandas()
     if len(q) > MAX_QUERY_ROWS:
         raise ValueError(f"more than {MAX_QUERY_ROWS} query features; match fewer queries at a time")
-    sets = {int(k): (g["kp_idx"].to_numpy(), matrix(g["desc"])) for k, g in q.sort_values(["query_id", "kp_idx"]).groupby("query_id")}
+    places = lambda g: (g[["x", "y"]].to_numpy(float),) if spatial else ()
+    sets = {int(k): (g["kp_idx"].to_numpy(), matrix(g["desc"]), places(g)) for k, g in q.sort_values(["query_id", "kp_idx"]).groupby("query_id")}
     sent = database.sparkSession.sparkContext.broadcast(sets)
-    pairs = database.select("image_id", "kp_idx", "desc").filter("desc is not null")
+    features = database.select("image_id", *cols).filter("desc is not null")
     if shortlist is None:
-        pairs = pairs.withColumn("query_id", F.explode(F.array(*[F.lit(k).cast("long") for k in sets]) if sets else F.array().cast("array<long>")))
+        features = features.withColumn("asked", F.lit(None).cast("array<long>"))
     else:
-        pairs = pairs.join(shortlist.select("query_id", "image_id").distinct(), "image_id")
+        features = features.join(shortlist.groupBy("image_id").agg(F.collect_set(F.col("query_id").cast("long")).alias("asked")), "image_id")
 
     def run(key, pdf):
-        qid, image = int(key[0]), int(key[1])
-        if qid not in sent.value:
-            return pd.DataFrame({"query_id": [], "image_id": [], "q_idx": [], "db_idx": [], "value": []})
-        pdf = pdf.sort_values("kp_idx")
-        idx, m = sent.value[qid]
-        i, j, value = fn(m, matrix(pdf["desc"]), **options)
-        return pd.DataFrame({"query_id": qid, "image_id": image, "q_idx": idx[i], "db_idx": pdf["kp_idx"].to_numpy()[j], "value": value})
-
-    return pairs.groupBy("query_id", "image_id").applyInPandas(run, OUT)
+        pdf, out = pdf.sort_values("kp_idx"), []
+        idx, m, at = pdf["kp_idx"].to_numpy(), matrix(pdf["desc"]), places(pdf)
+        for qid in sent.value if pdf["asked"].iloc[0] is None else sorted(pdf["asked"].iloc[0]):
+            if qid in sent.value:
+                own, v, spots = sent.value[qid]
+                i, j, value = fn(v, m, *spots, *at, **options)
+                out.append(pd.DataFrame({"query_id": qid, "image_id": key[0], "q_idx": own[i], "db_idx": idx[j], "value": value}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "image_id", "q_idx", "db_idx", "value")})
+
+    return features.groupBy("image_id").applyInPandas(run, OUT)
 
 
 def matched_points(matches: DataFrame, query: DataFrame, database: DataFrame) -> DataFrame:

@@ -6,8 +6,6 @@ neighbourhoods work on one image per group, which the image's size bounds.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -142,25 +140,23 @@ def gem_pool(tokens: DataFrame, p: float = 3.0, floor: float = 1e-6) -> DataFram
     return row.select("image_id", l2_normalize("g").alias("embedding"))
 
 
-def _logsumexp(m: np.ndarray, axis: int) -> np.ndarray:
-    top = m.max(axis=axis, keepdims=True)
-    return (np.log(np.exp(m - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
-
-
 def transport_weights(s: np.ndarray, dustbin: float = 1.0, rounds: int = 3) -> np.ndarray:
-    """Log assignment of n columns to m rows and a dustbin row that takes n - m of the mass, by ``rounds`` of row and column scaling."""
-    m, n = s.shape
-    if n <= m:
+    """Log of the plan that sends n patches (columns) to m clusters (rows) and a last row for what fits none, near exp(score).
+
+    The plan is of the form diag(a) exp(s) diag(b); every patch sends 1, every cluster wants 1 and the last row the other n - m. The matrix
+    itself is fitted to these sums in turn (iterative proportional fitting), ``rounds`` times rows and then columns. Rows are
+    scaled first, so each may start at any factor and starts with its greatest value at 1.
+    """
+    clusters, patches = s.shape
+    if patches <= clusters:
         raise ValueError("more columns than clusters are needed")
-    aug = np.vstack([s, np.full(n, float(dustbin))])
-    norm = -math.log(n + m)
-    la, lb = np.full(m + 1, norm), np.full(n, norm)
-    la[-1] += math.log(n - m)
-    u, v = np.zeros(m + 1), np.zeros(n)
+    plan = np.exp(np.vstack([s - s.max(axis=1, keepdims=True), np.zeros((1, patches))]))
+    wanted = np.append(np.ones(clusters), patches - clusters)[:, None]
     for _ in range(rounds):
-        u = la - _logsumexp(aug + v[None], 1)
-        v = lb - _logsumexp(aug + u[:, None], 0)
-    return aug + u[:, None] + v[None] - norm
+        plan *= wanted / plan.sum(axis=1, keepdims=True)
+        plan /= np.maximum(plan.sum(axis=0, keepdims=True), np.finfo(float).tiny)
+    with np.errstate(divide="ignore"):
+        return np.log(plan)
 
 
 def assign_by_transport(scores: DataFrame, dustbin: float = 1.0, rounds: int = 3) -> DataFrame:

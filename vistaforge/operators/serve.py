@@ -27,7 +27,7 @@ SEARCH_MODES = {
 
 @dataclass(frozen=True)
 class Config:
-    """Settings of an engine; ``with_options`` gives a changed copy and refuses names it does not know."""
+    """Settings of an engine; ``with_options`` gives a changed copy and refuses names it does not know. The defaults are fixed values of the protocol."""
 
     global_features: str = "dinosalad"
     local_features: str = "xfeat"
@@ -179,6 +179,8 @@ def envelope(result: DataFrame) -> DataFrame:
     return result.groupBy("query_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["image"])).alias("images"))
 
 
+#: Matching methods in the order in which they are offered, as far as there is a matcher for them.
+OFFERED_METHODS = ("snn", "smnn", "adalam", "lightglue")
 CAPABILITIES = {
     "engine_options": ["matching_method", "diffusion", "zooming_alg", "vlm_model"],
     "images_overlays": ["rank", "paths_over", "score"],
@@ -189,9 +191,11 @@ CAPABILITIES = {
 
 def capabilities() -> dict:
     """What the service offers: options with their values and defaults, overlays, search types and modes."""
+    from vistaforge.operators.match import METHODS
     from vistaforge.operators.vlm import MODEL_SHORTCUTS
 
-    values = {"matching_method": (["snn", "lightglue"], "lightglue"), "diffusion": (None, True), "zooming_alg": (["homography", "vlm"], "homography"), "vlm_model": (list(MODEL_SHORTCUTS), "qwen2vl-2b")}
+    methods = [m for m in OFFERED_METHODS if m in METHODS]
+    values = {"matching_method": (methods, "lightglue" if "lightglue" in methods else Config.matching_method), "diffusion": (None, True), "zooming_alg": (["homography", "vlm"], "homography"), "vlm_model": (list(MODEL_SHORTCUTS), "qwen2vl-2b")}
     options = [{"id": k, "label": k, "default": d, "type": "option" if v else "bool"} | ({"values": v} if v else {}) for k, (v, d) in values.items()]
     overlays = [{"id": k, "label": k, "default": True, "type": "paths" if k == "paths_over" else "text"} for k in CAPABILITIES["images_overlays"]]
     modes = [{"id": m, "label": m.replace("-", " ").capitalize(), "type": "image"} | ({"tool": "rectangle"} if crop else {}) for m, (_, crop) in SEARCH_MODES.items()]

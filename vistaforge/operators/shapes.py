@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vistaforge.operators.position import running_total
+from vistaforge.operators.position import running_total, with_position
 
 
 def _c(c: Column | str) -> Column:
@@ -53,9 +53,13 @@ def commonest_shape(sizes: DataFrame) -> DataFrame:
 
 
 def shape_batches(shapes: DataFrame, size: int) -> DataFrame:
-    """``(image_id, h, w, batch)``: batches of at most ``size`` images of equal shape, in order of id within a shape."""
-    w = Window.partitionBy("h", "w").orderBy("image_id")
-    return shapes.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    """``(image_id, h, w, batch)``: batches of at most ``size`` images of equal shape, in order of id within a shape. Places come from a
+    range partitioning, so the commonest shape is no single task."""
+    placed = with_position(shapes, "h", "w", "image_id")
+    first = placed.groupBy("h", "w").agg(F.min("position").alias("first"))
+    same = F.col("h").eqNullSafe(F.col("fh")) & F.col("w").eqNullSafe(F.col("fw"))
+    out = placed.join(first.withColumnsRenamed({"h": "fh", "w": "fw"}), same)
+    return out.withColumn("batch", F.floor((F.col("position") - F.col("first")) / size).cast("long")).drop("position", "first", "fh", "fw")
 
 
 def batch_statistics(batches: DataFrame) -> DataFrame:

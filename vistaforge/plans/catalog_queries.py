@@ -31,32 +31,47 @@ def path_to_id(spark, d):
     return images.join(catalog.catalog(images.select("path")), "path").select("given_id", "image_id", "path")
 
 
-@query("SELECT 0::BIGINT AS image_id, 'b/two.PNG' AS path UNION ALL SELECT 1, 'a/one.txt' UNION ALL SELECT 2, 'b/two.PNG'")
+@query("SELECT row_number() OVER (ORDER BY path DESC) - 1 AS image_id, path FROM (SELECT DISTINCT path FROM images WHERE path IS NOT NULL)")
 def file_list_catalog(spark, d):
-    return catalog.from_list(spark, ["b/two.PNG", "a/one.txt", "b/two.PNG"])
+    """A list of files (a driver's list by nature) in the order given, here the paths backwards; nothing is filtered."""
+    return catalog.from_list(spark, sorted((r[0] for r in table(spark, d, "images").select("path").filter("path is not null").distinct().collect()), reverse=True))
 
 
-_FILES = [("x/a", "ffd8ffe0"), ("x/a.jpg", "ffd8ffe0"), ("x/b", "89504e470d0a1a0a00"), ("x/c", "00112233"), ("x/d", "474946383961"), ("x/d.gif", "00"), ("x/d_1.gif", "00"), ("x.y/e", "424d0000"), ("x/.hidden", "ffd8ff")]
-_REPAIRED = [("x/a", "x/a_1.jpg"), ("x/b", "x/b.png"), ("x/d", "x/d_2.gif"), ("x.y/e", "x.y/e.bmp"), ("x/.hidden", "x/.hidden.jpg")]
+_HEADS = ["ffd8ffe0", "89504e470d0a1a0a00", "474946383961", "424d0000", "00112233"]
+_BARE = """WITH p AS (SELECT path, regexp_replace(path, '\\.[^./]*$', '') AS bare, min(image_id) % 5 AS kind FROM images WHERE path IS NOT NULL GROUP BY ALL),
+b AS (SELECT bare, min(kind) AS kind FROM p WHERE bare <> path GROUP BY bare), f AS (SELECT path FROM p UNION SELECT bare FROM b),
+e AS (SELECT bare, ['jpg', 'png', 'gif', 'bmp'][kind + 1] AS ext FROM b WHERE kind < 4),
+t AS (SELECT bare, i, bare || CASE WHEN i > 0 THEN '_' || i ELSE '' END || '.' || ext AS name FROM e, range(0, 20) r(i)) """
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _REPAIRED) + ") t(path, new_path)")
+@query(_BARE + "SELECT bare AS path, arg_min(name, i) AS new_path FROM t WHERE name NOT IN (SELECT path FROM f) GROUP BY bare")
 def extension_repair_plan(spark, d):
-    files = spark.createDataFrame(_FILES, "path string, h string").select("path", F.unhex("h").alias("head"))
-    return catalog.repair_plan(files)
+    """Beside every image lies a file of its name without extension, whose bytes are those of one of four types or of none."""
+    bare = F.regexp_replace("path", r"\.[^./]*$", "")
+    p = table(spark, d, "images").filter("path is not null").groupBy("path").agg((F.min("image_id") % 5).cast("int").alias("kind")).withColumn("bare", bare)
+    b = p.filter("bare <> path").groupBy("bare").agg(F.min("kind").alias("kind"))
+    head = F.unhex(F.element_at(F.array(*[F.lit(h) for h in _HEADS]), F.col("kind") + 1))
+    files = p.select("path", F.lit(None).cast("binary").alias("head")).unionByName(b.select(F.col("bare").alias("path"), head.alias("head")))
+    return catalog.repair_plan(files.groupBy("path").agg(F.max("head").alias("head")))
 
 
-_PNG = "89504e470d0a1a0a0000000d49484452000002800000019008060000"
-_GIF = "4749463839614001c800"
-_BMP = "424d000000000000000000000000280000002c01000038ffffff"
-_JPEG = "ffd8ffe00004" + "0000" + "ffc0001108" + "01e00280" + "03"
-_TURNED = "ffd8ffe10024" + "457869660000" + "49492a0008000000" + "0100" + "12010300010000000600000000000000" + "0000" + "ffc0001108" + "01e00280" + "03"
-
-
-@query("SELECT * FROM (VALUES (0::BIGINT, 400, 640), (1, 200, 320), (2, 200, 300), (3, 480, 640), (4, 640, 480), (5, NULL, NULL)) t(image_id, h, w)")
+@query("""SELECT DISTINCT image_id, CASE WHEN image_id % 5 < 4 THEN CASE WHEN image_id % 5 = 3 THEN w ELSE h END END AS h, CASE WHEN image_id % 5 < 4 THEN CASE WHEN image_id % 5 = 3 THEN h ELSE w END END AS w
+FROM image_size WHERE image_id IS NOT NULL AND h BETWEEN 0 AND 65535 AND w BETWEEN 0 AND 65535""")
 def header_sizes(spark, d):
-    heads = spark.createDataFrame([(i, x) for i, x in enumerate((_PNG, _GIF, _BMP, _JPEG, _TURNED, "00"))], "image_id long, x string")
-    return catalog.header_sizes(heads.select("image_id", F.unhex("x").alias("head")))
+    """Headers of four formats (the JPEG turned by its orientation) and of none, made of each image's stored size."""
+    s = table(spark, d, "image_size").filter("image_id is not null and h between 0 and 65535 and w between 0 and 65535").select("image_id", "h", "w").distinct()
+    big = lambda c, n: F.lpad(F.hex(F.col(c)), n, "0")
+    little = lambda c, n: F.concat(F.substring(big(c, 4), 3, 2), F.substring(big(c, 4), 1, 2), F.lit("0000"[: n - 4]))
+    turned = "ffd8ffe10024" + "457869660000" + "49492a0008000000" + "0100" + "12010300010000000600000000000000" + "0000" + "ffc0001108"
+    kinds = [
+        F.concat(F.lit("89504e470d0a1a0a0000000d49484452"), big("w", 8), big("h", 8), F.lit("08060000")),
+        F.concat(F.lit("474946383961"), little("w", 4), little("h", 4)),
+        F.concat(F.lit("424d0000000000000000000000002800" + "0000"), little("w", 8), little("h", 8)),
+        F.concat(F.lit(turned), big("h", 4), big("w", 4), F.lit("03")),
+        F.lit("00"),
+    ]
+    head = F.element_at(F.array(*kinds), (F.col("image_id") % 5).cast("int") + 1)
+    return catalog.header_sizes(s.select("image_id", F.unhex(head).alias("head")))
 
 
 @query("SELECT count(*) AS n, sum(('0x' || substr(md5(path), 1, 8))::BIGINT)::BIGINT AS fingerprint FROM (SELECT DISTINCT image_id, path FROM images)")
@@ -122,14 +137,24 @@ def shape_order(spark, d):
     return _shaped(spark, d).repartitionByRange("h_out", "w_out", "image_id").sortWithinPartitions("h_out", "w_out", "image_id").select("image_id", "h_out", "w_out")
 
 
-@query(_SHAPES + """, q AS (SELECT image_id, w_out, unnest(range(0, (h_out // 16) * (w_out // 16), 37)) AS i FROM (SELECT DISTINCT image_id, h_out, w_out FROM o))
-SELECT image_id, i::BIGINT AS patch, ((i % (w_out // 16)) + 0.5::DOUBLE) * 16 AS x, ((i // (w_out // 16)) + 0.5::DOUBLE) * 16 AS y FROM q""")
+@query(_SHAPES + """, z AS (SELECT h_out, w_out, count(DISTINCT image_id) AS n_images FROM o WHERE h_out >= 16 AND w_out >= 16 GROUP BY ALL),
+q AS (SELECT *, unnest(range(0, (h_out // 16) * (w_out // 16))) AS i FROM z)
+SELECT h_out, w_out, n_images, i::BIGINT AS patch, ((i % (w_out // 16)) + 0.5::DOUBLE) * 16 AS x, ((i // (w_out // 16)) + 0.5::DOUBLE) * 16 AS y FROM q""")
 def patch_centres(spark, d):
-    one = _shaped(spark, d).select("image_id", "h_out", "w_out").distinct().filter("h_out >= 16 and w_out >= 16")
+    """All patches of every shape that occurs, and how many images have it: centres depend on the shape alone."""
+    shaped = _shaped(spark, d).filter("h_out >= 16 and w_out >= 16").groupBy("h_out", "w_out").agg(F.countDistinct("image_id").alias("n_images"))
     last = (F.floor(F.col("h_out") / 16) * F.floor(F.col("w_out") / 16) - 1).cast("long")
-    p = one.select("image_id", "w_out", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(37).cast("long"))).alias("patch"))
+    p = shaped.select("h_out", "w_out", "n_images", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("patch"))
     c = shapes.patch_centre("patch", "w_out")
-    return p.select("image_id", "patch", c["x"].alias("x"), c["y"].alias("y"))
+    return p.select("h_out", "w_out", "n_images", "patch", c["x"].alias("x"), c["y"].alias("y"))
+
+
+@query("""WITH s AS (SELECT DISTINCT image_id, h, w FROM image_size WHERE h > 0 AND w > 0)
+SELECT image_id, h, w, round(100.25::DOUBLE * w / 512, 6) AS x, round(57.5::DOUBLE * h / 384, 6) AS y FROM s""")
+def rescaled_points(spark, d):
+    """A place in an image of 512 by 384 in the pixels of each original."""
+    s = _sizes(spark, d).filter("h > 0 and w > 0")
+    return s.select("image_id", "h", "w", F.round(shapes.rescaled(F.lit(100.25), F.lit(512), "w"), 6).alias("x"), F.round(shapes.rescaled(F.lit(57.5), F.lit(384), "h"), 6).alias("y"))
 
 
 @query("""WITH s AS (SELECT DISTINCT image_id, h, w FROM image_size WHERE h >= 32 AND w >= 32)

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vistaforge.functions.vectors import shortlist_score
-from vistaforge.operators import diffusion, geometry, graph, knn, match, serve, vlm
-from vistaforge.plans.index import Index, shortlisted_features
+from vistaforge.operators import asmk, diffusion, geometry, graph, knn, match, serve, vlm
+from vistaforge.plans.index import INVERTED_FILE, Index, shortlisted_features
+from vistaforge.sources import catalog, extract, images
 
 QUERY = 0
 
@@ -21,12 +22,32 @@ QUERY = 0
 class QueryImage:
     """What an extractor slot gives for a query: its vector, its local features ``(kp_idx, x, y, desc)`` and its size."""
 
-    vector: list[float]
+    vector: list[float] | None
     features: DataFrame | None
     h: int
     w: int
 
 
+def describer(spark: SparkSession, config: serve.Config, global_model: Callable[[], object], local_model: Callable[[], object]) -> Callable[[str, tuple | None], QueryImage]:
+    """``describe(path, box)`` for an Engine from the same models as the index: the file is read, cut to the box (relative, x1 y1 x2 y2)
+    where there is one, and described as an image of one row."""
+
+    def describe(path: str, box: tuple | None) -> QueryImage:
+        content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+        if box is not None:
+            pixels = images.decode(content)
+            (x1, y1, x2, y2), (h, w) = box, pixels.shape[:2]
+            xs, ys = sorted((int(x1 * w), int(x2 * w))), sorted((int(y1 * h), int(y2 * h)))
+            content = images.encode_png(images.crop(pixels, xs[0], ys[0], xs[1], ys[1]))
+        one = spark.createDataFrame([(QUERY, bytearray(content))], "image_id long, content binary")
+        features = extract.local_features(one, config.local_features, local_model, config.num_local_features).drop("image_id")
+        vector = None if config.global_features == INVERTED_FILE else list(extract.global_descriptors(one, config.global_features, global_model).first()["embedding"])
+        h, w = catalog.header_size(content)
+        return QueryImage(vector, features, h or 0, w or 0)
+
+    return describe
+
+
 class Engine:
     """Answers requests over an index. ``describe(path, box)`` gives the QueryImage of a (cropped) query; ``model`` answers prompts."""
 
@@ -34,10 +55,13 @@ class Engine:
         self.spark, self.index, self.config, self.describe, self.model, self.seed = spark, index, config, describe, model, seed
 
     def shortlist(self, q: QueryImage, k: int, use_diffusion: bool = False) -> DataFrame:
-        """``(query_id, rank, image_id, score)``: the ``k`` nearest by distance, or by diffusion from the nearest."""
+        """``(query_id, rank, image_id, score)``: the ``k`` nearest by distance, by diffusion from the nearest, or by the inverted file."""
+        if self.config.global_features == INVERTED_FILE:
+            met = asmk.query_inverted_file(self.index.vectors, asmk.postings(q.features.select(F.lit(QUERY).cast("long").alias("image_id"), "desc"), self.index.words).withColumnRenamed("image_id", "query_id"), k)
+            return met.select("query_id", (F.col("rank") - 1).alias("rank"), "image_id", "score")
         if use_diffusion:
             asked = self.spark.createDataFrame([(QUERY, [float(x) for x in q.vector])], "query_id long, embedding array<double>")
-            f = diffusion.minres(self.index.edges, graph.query_seed(self.index.vectors, asked))
+            f = diffusion.diffuse(self.index.edges, graph.query_seed(self.index.vectors, asked))
             near = f.orderBy(F.desc("f"), "image_id").limit(k).select("image_id", F.col("f").alias("order"), ((2 + F.col("f")) / 2).alias("score"))
         else:
             near = knn.l2_shortlist(self.index.vectors, q.vector, k).select("image_id", (-F.col("dist")).alias("order"), shortlist_score("dist").alias("score"))
@@ -69,8 +93,7 @@ class Engine:
         plan = serve.plan_request(request, self.config)
         if plan.path is None:
             picked = knn.random_shortlist(self.index.images, plan.shortlist_size, self.seed)
-            w = Window.orderBy(F.monotonically_increasing_id())
-            ranked = picked.select(F.lit(QUERY).cast("long").alias("query_id"), "image_id", "score", F.col("score").alias("global_similarity"), (F.row_number().over(w) - 1).alias("rank"))
+            ranked = picked.select(F.lit(QUERY).cast("long").alias("query_id"), "image_id", "score", F.col("score").alias("global_similarity"), "rank")
         else:
             ranked = self._ranked(plan)
         if "points" not in ranked.columns:
@@ -78,7 +101,7 @@ class Engine:
         page = serve.page(ranked, plan.offset, plan.limit)
         rows = serve.result_rows(page, self.index.images, plan.criterion, self.config.input_dir, self.config.prefix)
         drawn = page.select("rank", F.to_json(serve.path_overlay("points")).alias("paths_over"))
-        out = []
+        out = []  # keys and texts below are fixed values of the protocol
         for r in rows.join(drawn, "rank").orderBy("rank").collect():
             overlays = {"rank": r["rank_text"], "score": r["score_text"], "paths_over": json.loads(r["paths_over"])}
             out.append({"path": r["path"], "overlays": overlays, "output_information": {"text_info": r["text_info"]}, "prefix": r["prefix"]})

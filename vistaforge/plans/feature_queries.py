@@ -16,21 +16,21 @@ def _features(spark, d):
 
 
 def _query_features(spark, d):
-    return _features(spark, d).filter("image_id = 0").withColumnRenamed("image_id", "query_id")
+    """Every image is a query and meets every image, itself included."""
+    return _features(spark, d).withColumnRenamed("image_id", "query_id")
 
 
 def _matched(spark, d, method, **options):
-    db = _features(spark, d).filter("image_id > 0")
-    return match.match_features(_query_features(spark, d), db, method, **options).withColumn("value", F.round("value", 6))
+    return match.match_features(_query_features(spark, d), _features(spark, d), method, **options).withColumn("value", F.round("value", 6))
 
 
-_PAIRS = """WITH p AS (SELECT b.label::BIGINT AS image_id, a.vec_id AS q_idx, b.vec_id AS db_idx,
+_PAIRS = """WITH p AS (SELECT a.label::BIGINT AS query_id, b.label::BIGINT AS image_id, a.vec_id AS q_idx, b.vec_id AS db_idx,
  list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dot
- FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY image_id, q_idx ORDER BY dist, db_idx) AS rq, row_number() OVER (PARTITION BY image_id, db_idx ORDER BY dist, q_idx) AS rd,
- nth_value(dist, 2) OVER (PARTITION BY image_id, q_idx ORDER BY dist, db_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS q2,
- nth_value(dist, 2) OVER (PARTITION BY image_id, db_idx ORDER BY dist, q_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS d2 FROM p) """
-_OUT = "SELECT 0::BIGINT AS query_id, image_id, q_idx, db_idx, "
+ FROM embeddings a, embeddings b),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id, query_id, q_idx ORDER BY dist, db_idx) AS rq, row_number() OVER (PARTITION BY image_id, query_id, db_idx ORDER BY dist, q_idx) AS rd,
+ nth_value(dist, 2) OVER (PARTITION BY image_id, query_id, q_idx ORDER BY dist, db_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS q2,
+ nth_value(dist, 2) OVER (PARTITION BY image_id, query_id, db_idx ORDER BY dist, q_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS d2 FROM p) """
+_OUT = "SELECT query_id, image_id, q_idx, db_idx, "
 
 
 @query(_PAIRS + _OUT + "round(dist / q2, 6) AS value FROM r WHERE rq = 1 AND dist / q2 <= 0.95")
@@ -53,7 +53,7 @@ def match_ratio_squared(spark, d):
     return _matched(spark, d, "faiss_cpu")
 
 
-_MUTUAL_DOT = """, c AS (SELECT *, row_number() OVER (PARTITION BY image_id, q_idx ORDER BY dot DESC, db_idx) AS cq, row_number() OVER (PARTITION BY image_id, db_idx ORDER BY dot DESC, q_idx) AS cd FROM p) """
+_MUTUAL_DOT = """, c AS (SELECT *, row_number() OVER (PARTITION BY image_id, query_id, q_idx ORDER BY dot DESC, db_idx) AS cq, row_number() OVER (PARTITION BY image_id, query_id, db_idx ORDER BY dot DESC, q_idx) AS cd FROM p) """
 
 
 @query(_PAIRS + _MUTUAL_DOT + _OUT + "round(dot, 6) AS value FROM c WHERE cq = 1 AND cd = 1 AND dot > 0.3")
@@ -68,16 +68,22 @@ def match_mnn_batch(spark, d):
 
 
 @query(_PAIRS + """, e AS (SELECT *, exp(20 * (dot - 1)) AS e FROM p),
-s AS (SELECT *, e * e / sum(e) OVER (PARTITION BY image_id, q_idx) / sum(e) OVER (PARTITION BY image_id, db_idx) AS pr FROM e),
-k AS (SELECT *, row_number() OVER (PARTITION BY image_id, q_idx ORDER BY pr DESC, db_idx) AS a, row_number() OVER (PARTITION BY image_id, db_idx ORDER BY pr DESC, q_idx) AS b FROM s) """ + _OUT + "round(pr, 6) AS value FROM k WHERE a = 1 AND b = 1 AND pr > 0.01")
+s AS (SELECT *, e * e / sum(e) OVER (PARTITION BY image_id, query_id, q_idx) / sum(e) OVER (PARTITION BY image_id, query_id, db_idx) AS pr FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY image_id, query_id, q_idx ORDER BY pr DESC, db_idx) AS a, row_number() OVER (PARTITION BY image_id, query_id, db_idx ORDER BY pr DESC, q_idx) AS b FROM s) """ + _OUT + "round(pr, 6) AS value FROM k WHERE a = 1 AND b = 1 AND pr > 0.01")
 def match_dual_softmax(spark, d):
     return _matched(spark, d, "dual_softmax")
 
 
-@query(_PAIRS + """SELECT 0::BIGINT AS query_id, r.image_id, q_idx, db_idx, a.embedding[1]::DOUBLE AS x1, a.embedding[2]::DOUBLE AS y1, b.embedding[1]::DOUBLE AS x2, b.embedding[2]::DOUBLE AS y2
+@query()
+def match_adalam(spark, d):
+    """Matches that move like those around them; no SQL, tested on planted motions."""
+    return _matched(spark, d, "adalam")
+
+
+@query(_PAIRS + """SELECT r.query_id, r.image_id, q_idx, db_idx, a.embedding[1]::DOUBLE AS x1, a.embedding[2]::DOUBLE AS y1, b.embedding[1]::DOUBLE AS x2, b.embedding[2]::DOUBLE AS y2
 FROM r JOIN embeddings a ON a.vec_id = q_idx JOIN embeddings b ON b.vec_id = db_idx WHERE rq = 1 AND dist / q2 <= 0.95""")
 def matched_keypoints(spark, d):
-    q, db = _query_features(spark, d), _features(spark, d).filter("image_id > 0")
+    q, db = _query_features(spark, d), _features(spark, d)
     return match.matched_points(match.match_features(q, db, "snn"), q, db)
 
 

@@ -9,7 +9,8 @@ from vistaforge.operators import diffusion, graph, knn
 from vistaforge.plans.registry import query, table
 from vistaforge.session import cut
 
-SEEDS = [0, 7, 123]
+#: Queries of the searches: every row whose id is divisible by this.
+EVERY = 50
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _DIST = "round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
 
@@ -19,7 +20,7 @@ def _vectors(spark, d):
 
 
 def _seeds(spark, d):
-    return _vectors(spark, d).filter(F.col("image_id").isin(SEEDS)).withColumnRenamed("image_id", "query_id")
+    return _vectors(spark, d).filter(F.col("image_id") % EVERY == 0).withColumnRenamed("image_id", "query_id")
 
 
 @query(f"""SELECT b.vec_id AS image_id, {_DIST} AS dist, round((2 - {_DIST}) / 2, 6) AS score
@@ -30,7 +31,7 @@ def knn_l2_topk(spark, d):
 
 
 @query(f"""SELECT a.vec_id AS query_id, b.vec_id AS image_id, {_DIST} AS value, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST}, b.vec_id) AS rank
-FROM embeddings a, embeddings b WHERE a.vec_id IN (0, 7, 123) QUALIFY rank <= 50""")
+FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 50""")
 def knn_l2_multi_query(spark, d):
     return knn.blocked_topk(_vectors(spark, d), _seeds(spark, d), 50).withColumn("rank", F.col("rank").cast("long"))
 
@@ -73,12 +74,12 @@ def quantize_roundtrip(spark, d):
 
 _EDGES = f"""WITH s AS (SELECT a.vec_id AS src, b.vec_id AS dst, round({_DOT}, 6) AS s FROM embeddings a, embeddings b),
 k AS (SELECT src, dst, round(greatest(s * s * s, 0), 9) AS w, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS r FROM s),
-e AS (SELECT src, dst, w FROM k WHERE r <= 100 AND w > 0) """
-_MUTUAL = _EDGES + ", m AS (SELECT x.src, x.dst, least(x.w, y.w) AS w FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src) "
+e AS MATERIALIZED (SELECT src, dst, w FROM k WHERE r <= 100 AND w > 0) """
+_MUTUAL = _EDGES + ", m AS MATERIALIZED (SELECT x.src, x.dst, least(x.w, y.w) AS w FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src) "
 _WN = _MUTUAL + """, g AS (SELECT src, sum(w) AS d FROM m WHERE src <> dst GROUP BY src),
-wn AS (SELECT m.src, m.dst, m.w / sqrt(a.d * b.d) AS w FROM m JOIN g a ON m.src = a.src JOIN g b ON m.dst = b.src WHERE m.src <> m.dst) """
+wn AS MATERIALIZED (SELECT m.src, m.dst, m.w / sqrt(a.d * b.d) AS w FROM m JOIN g a ON m.src = a.src JOIN g b ON m.dst = b.src WHERE m.src <> m.dst) """
 _SEED = f"""SELECT a.vec_id AS query_id, b.vec_id AS image_id, round(pow(round({_DOT}, 6), 3), 9) AS q, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT}, 6) DESC, b.vec_id) AS r
-FROM embeddings a, embeddings b WHERE a.vec_id IN (0, 7, 123)"""
+FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0"""
 
 
 @query(_EDGES + "SELECT src, dst, w FROM e")
@@ -116,13 +117,13 @@ def _wn(spark, d):
     return cut(graph.normalized_graph(_vectors(spark, d)))
 
 
-_STEPS = "".join(
-    f", f{i} AS (SELECT query_id, image_id, sum(f) AS f FROM (SELECT query_id, image_id, f FROM f0 UNION ALL SELECT p.query_id, wn.src, 0.9::DOUBLE * wn.w * p.f FROM wn JOIN f{i - 1} p ON wn.dst = p.image_id) GROUP BY ALL)"
-    for i in range(1, 5)
-)
+_STEPS = [
+    f", f{i} AS MATERIALIZED (SELECT query_id, image_id, sum(f) AS f FROM (SELECT query_id, image_id, f FROM f0 UNION ALL SELECT p.query_id, wn.src, 0.9::DOUBLE * wn.w * p.f FROM wn JOIN f{i - 1} p ON wn.dst = p.image_id) GROUP BY ALL)"
+    for i in range(1, 41)
+]
 
 
-@query(_WN.replace("WITH s AS", f"WITH f0 AS (SELECT query_id, image_id, q AS f FROM ({_SEED}) WHERE r <= 50 AND q > 0), s AS") + _STEPS + "SELECT query_id, image_id, round(f, 6) AS f FROM f4")
+@query(_WN.replace("WITH s AS", f"WITH f0 AS (SELECT query_id, image_id, q AS f FROM ({_SEED}) WHERE r <= 50 AND q > 0), s AS") + "".join(_STEPS[:4]) + "SELECT query_id, image_id, round(f, 6) AS f FROM f4")
 def diffusion_fixed_iter(spark, d):
     seed = graph.query_seed(_vectors(spark, d), _seeds(spark, d))
     return diffusion.neumann(_wn(spark, d), seed, rounds=4).withColumn("f", F.round("f", 6))
@@ -149,12 +150,19 @@ def diffusion_minres(spark, d):
     return _ranked(diffusion.minres(_wn(spark, d), graph.query_seed(_vectors(spark, d), _seeds(spark, d))))
 
 
-@query()
+@query(_WN.replace("WITH s AS", f"WITH f0 AS (SELECT query_id, image_id, q AS f FROM ({_SEED}) WHERE r <= 50 AND q > 0), s AS") + "".join(_STEPS) + """, o AS (SELECT query_id, image_id, round(f, 5) AS f FROM f40)
+SELECT query_id, image_id, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, image_id) AS rank, round((2 + f) / 2, 5) AS score FROM o QUALIFY rank <= 100""")
 def diffusion_converged(spark, d):
     """The same by table iterations, for graphs of any size."""
     return _ranked(diffusion.neumann(_wn(spark, d), graph.query_seed(_vectors(spark, d), _seeds(spark, d)), rounds=40))
 
 
+@query()
+def diffusion_conjugate(spark, d):
+    """The same by conjugate residuals on tables: the iterates of the minimum-residual solve without its bound on the graph."""
+    return _ranked(diffusion.conjugate_residual(_wn(spark, d), graph.query_seed(_vectors(spark, d), _seeds(spark, d))))
+
+
 @query()
 def spectral_rank(spark, d):
     return _ranked(diffusion.spectral(_wn(spark, d), graph.query_seed(_vectors(spark, d), _seeds(spark, d)), rank=400))
@@ -167,22 +175,30 @@ def truncated_diffusion(spark, d):
     return _ranked(diffusion.truncated(_wn(spark, d), seed))
 
 
-@query(_MUTUAL + ", h0 AS (SELECT DISTINCT vec_id AS query_id, vec_id AS image_id FROM embeddings WHERE vec_id IN (0, 7, 123)), h1 AS (SELECT query_id, image_id FROM h0 UNION SELECT query_id, dst FROM h0 JOIN m ON src = image_id) SELECT query_id, image_id FROM h1")
+@query(_MUTUAL + ", h0 AS (SELECT DISTINCT vec_id AS query_id, vec_id AS image_id FROM embeddings WHERE vec_id % 50 = 0), h1 AS (SELECT query_id, image_id FROM h0 UNION SELECT query_id, dst FROM h0 JOIN m ON src = image_id) SELECT query_id, image_id FROM h1")
 def k_hop_nodes(spark, d):
     m = graph.mutual_min(graph.kernel_edges(_vectors(spark, d)))
-    seeds = _vectors(spark, d).filter(F.col("image_id").isin(SEEDS)).select(F.col("image_id").alias("query_id"), "image_id")
+    seeds = _vectors(spark, d).filter(F.col("image_id") % EVERY == 0).select(F.col("image_id").alias("query_id"), "image_id")
     return graph.k_hop_nodes(m, seeds, 1)
 
 
-@query(_MUTUAL + ", h1 AS (SELECT DISTINCT vec_id AS query_id, vec_id AS image_id FROM embeddings WHERE vec_id IN (0, 7, 123)), h2 AS (SELECT query_id, image_id FROM h1 UNION SELECT query_id, dst FROM h1 JOIN m ON src = image_id) SELECT q.query_id, e.vec_id AS image_id, h2.image_id IS NOT NULL AS reached FROM (SELECT DISTINCT query_id FROM h1) q CROSS JOIN embeddings e LEFT JOIN h2 ON h2.query_id = q.query_id AND h2.image_id = e.vec_id")
+@query(_MUTUAL + ", h1 AS (SELECT DISTINCT vec_id AS query_id, vec_id AS image_id FROM embeddings WHERE vec_id % 50 = 0), h2 AS (SELECT query_id, image_id FROM h1 UNION SELECT query_id, dst FROM h1 JOIN m ON src = image_id) SELECT q.query_id, e.vec_id AS image_id, h2.image_id IS NOT NULL AS reached FROM (SELECT DISTINCT query_id FROM h1) q CROSS JOIN embeddings e LEFT JOIN h2 ON h2.query_id = q.query_id AND h2.image_id = e.vec_id")
 def full_ranking(spark, d):
     """Reached nodes and, after them, all others of the collection."""
     m = graph.mutual_min(graph.kernel_edges(_vectors(spark, d)))
-    seeds = _vectors(spark, d).filter(F.col("image_id").isin(SEEDS)).select(F.col("image_id").alias("query_id"), "image_id")
+    seeds = _vectors(spark, d).filter(F.col("image_id") % EVERY == 0).select(F.col("image_id").alias("query_id"), "image_id")
     reached = graph.k_hop_nodes(m, seeds, 1).withColumn("f", F.lit(1.0))
     return diffusion.full_ranking(reached, _vectors(spark, d)).select("query_id", "image_id", "reached")
 
 
+@query()
+def routed_graph(spark, d):
+    """The kernel graph of all image descriptors, rows compared within the cells they visit."""
+    g = table(spark, d, "global_desc").groupBy("image_id").agg(F.min_by("global_descs", "described_at").alias("v"))
+    clean = g.filter("size(v) = 96").filter(~F.exists("v", lambda x: F.isnan(x) | x.isNull()) & (V.dot("v", "v") > 1e-12)).select("image_id", V.l2_normalize("v").alias("embedding"))
+    return graph.kernel_edges(clean, 50, exact_rows=0)
+
+
 @query()
 def random_shortlist(spark, d):
     return knn.random_shortlist(table(spark, d, "images"), 100, seed=42)

@@ -56,10 +56,10 @@ _INPUT = "SELECT image_id, min(path) AS path FROM images GROUP BY image_id"
 
 @query(_MERGED + f""", f AS (SELECT image_id, path, split_part(path, '/', 1) || '/' AS root FROM ({_INPUT}))
 SELECT query_id, o.rank, replace(path, 'photos/', 'collection/') AS path, 'Rank: ' || o.rank::VARCHAR AS rank_text, 'scale_factor_max: ' || printf('%.3g', score) || ', global_similarity: ' || printf('%.3g', global_similarity) AS score_text, 'collection' AS prefix
-FROM o JOIN f USING (image_id) WHERE o.rank < 5 AND score IS NOT NULL AND global_similarity IS NOT NULL""")
+FROM o JOIN f USING (image_id) WHERE o.rank < 5""")
 def result_overlays(spark, d):
     """Rows of a first page with their texts."""
-    p = serve.page(_merged(spark, d), 0, 5).filter("score is not null and global_similarity is not null")
+    p = serve.page(_merged(spark, d), 0, 5)
     images = table(spark, d, "images").groupBy("image_id").agg(F.min("path").alias("path"))
     return serve.result_rows(p, images, "scale_factor_max", "photos").select("query_id", "rank", "path", "rank_text", "score_text", "prefix")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that every executor can read; the session names it in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a test on one machine) gets a temporary folder.
+    Only a session on one machine that names none, as in tests, gets a temporary folder, which goes when Python ends; on a cluster
+    that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -22,6 +25,7 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="vistaforge-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return named
 
@@ -34,8 +38,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, so that the size of the files is known to the planner:
-    it is broadcast in later joins if it is below ``spark.sql.autoBroadcastJoinThreshold``, and shuffled if not."""
+    it is broadcast in later joins if it is below ``spark.sql.autoBroadcastJoinThreshold``, and shuffled if not.
+
+    The tables of an application are in one folder, which ``forget_written`` removes; plans that read them cannot run afterwards."""
     spark = df.sparkSession
-    path = f"{shared_checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def forget_written(spark: SparkSession) -> None:
+    """Remove all that ``written`` wrote for this application."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

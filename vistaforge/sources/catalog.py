@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistaforge.operators.position import with_position
+from vistaforge.session import cut
 
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "gif")
 #: Leading bytes (hex) by type, and the extension they get (fixed values).
@@ -57,7 +59,7 @@ def sniffed_type(head: Column | str) -> Column:
 def repair_plan(files: DataFrame) -> DataFrame:
     """``(path, new_path)`` for files ``(path, head)`` without extension whose bytes are an image's.
 
-    The new name is path.ext or, where that exists, path_N.ext with the least free N from 1. Renaming is left to the caller."""
+    The new name is path.ext or, where that exists, path_N.ext with the least free N from 1. ``apply_repair`` renames."""
     base = F.element_at(F.split("path", "/"), -1)
     bare = files.filter(~base.rlike(r"[^.].*\.[^.]*$") & sniffed_type("head").isNotNull()).select("path", sniffed_type("head").alias("ext"))
     names = files.select(F.col("path").alias("name"))
@@ -69,6 +71,23 @@ def repair_plan(files: DataFrame) -> DataFrame:
     return free.groupBy("path").agg(F.min_by("name", "i").alias("new_path"))
 
 
+def apply_repair(plan: DataFrame) -> DataFrame:
+    """``(path, new_path, renamed)`` after renaming the files of a ``repair_plan`` in the tasks that hold its rows. A file that is gone, or whose
+    new name has been taken since, is left alone; so a task that runs twice does no harm. Needs a file system that all executors mount."""
+
+    def run(batches):
+        for pdf in batches:
+            done = []
+            for a, b in zip(pdf["path"], pdf["new_path"]):
+                free = os.path.exists(a) and not os.path.exists(b)
+                if free:
+                    os.rename(a, b)
+                done.append(free)
+            yield pdf.assign(renamed=done)
+
+    return cut(plan.select("path", "new_path").mapInPandas(run, "path string, new_path string, renamed boolean"))
+
+
 def header_size(data: bytes) -> tuple[int | None, int | None]:
     """(height, width) from the first bytes of PNG, GIF, BMP or JPEG; EXIF orientations 5 to 8 swap them; unreadable is (None, None)."""
     try:
@@ -120,13 +139,14 @@ def _orientation(tiff: bytes) -> int:
     return 1
 
 
-def header_sizes(files: DataFrame, head: str = "head") -> DataFrame:
-    """``(image_id, h, w)`` from the first bytes of each file; Arrow batches, no pixels."""
+def header_sizes(files: DataFrame, head: str = "head", key: str = "image_id") -> DataFrame:
+    """``(key, h, w)`` from the first bytes of each file, or from all of them; Arrow batches, no pixels."""
 
     def run(batches):
         for pdf in batches:
             got = [header_size(bytes(b)) if b is not None else (None, None) for b in pdf["head"]]
             out = pd.DataFrame(got, columns=["h", "w"]).astype("Int64")
-            yield pd.concat([pdf[["image_id"]].reset_index(drop=True), out], axis=1)
+            yield pd.concat([pdf[["key"]].reset_index(drop=True), out], axis=1)
 
-    return files.select("image_id", F.col(head).alias("head")).mapInPandas(run, "image_id long, h int, w int")
+    rows = files.select(F.col(key).alias("key"), F.col(head).alias("head"))
+    return rows.mapInPandas(run, f"key {dict(rows.dtypes)['key']}, h int, w int").withColumnRenamed("key", key)

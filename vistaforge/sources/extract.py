@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,14 @@ def loaded(key: str, factory: Callable[[], object]) -> object:
 
 
 def unload(key: str) -> None:
-    _loaded.pop(key, None)
+    """Forget what is under the key, whatever factory made it."""
+    for k in [k for k in _loaded if k == key or k.startswith(key + ":")]:
+        del _loaded[k]
+
+
+def model_key(key: str, factory: Callable[[], object]) -> str:
+    """The key with a hash of the factory, so that workers that are used again never answer with another model of that name."""
+    return f"{key}:{hashlib.md5(cloudpickle.dumps(factory)).hexdigest()}"
 
 
 class HashExtractor:
@@ -46,27 +54,39 @@ class HashExtractor:
         return pd.DataFrame({"x": rng.uniform(0, 640, self.keypoints), "y": rng.uniform(0, 480, self.keypoints), "score": rng.uniform(0, 1, self.keypoints), "desc": list(d / np.linalg.norm(d, axis=1, keepdims=True))})
 
 
-def global_descriptors(images: DataFrame, key: str, factory: Callable[[], object], batch: int = 32, content: str = "content") -> DataFrame:
+def global_descriptors(images: DataFrame, key: str, factory: Callable[[], object], batch: int = 32, content: str = "content", key_col: str = "image_id") -> DataFrame:
     """``(image_id, embedding)`` by ``model.describe(list of bytes)``; images without content are left out."""
 
+    name = model_key(key, factory)
+
     def run(batches):
-        model = loaded(key, factory)
+        model = loaded(name, factory)
         for pdf in batches:
             for at in range(0, len(pdf), batch):
                 some = pdf.iloc[at : at + batch]
-                yield pd.DataFrame({"image_id": some["image_id"], "embedding": [v.astype(np.float32) for v in model.describe([bytes(c) for c in some["c"]])]})
+                yield pd.DataFrame({"k": some["k"], "embedding": [v.astype(np.float32) for v in model.describe([bytes(c) for c in some["c"]])]})
 
-    return images.select("image_id", F.col(content).alias("c")).filter("c is not null").mapInPandas(run, "image_id long, embedding array<float>")
+    return _keyed(images, key_col, content, run, "embedding array<float>")
 
 
-def local_features(images: DataFrame, key: str, factory: Callable[[], object], content: str = "content") -> DataFrame:
-    """``(image_id, kp_idx, x, y, score, desc)`` by ``model.detect(bytes)``; images without content are left out."""
+def local_features(images: DataFrame, key: str, factory: Callable[[], object], most: int | None = None, content: str = "content", key_col: str = "image_id") -> DataFrame:
+    """``(image_id, kp_idx, x, y, score, desc)`` by ``model.detect(bytes)``: the ``most`` keypoints of highest score, numbered from it on (all, in
+    the order detected, by default); images without content are left out."""
+
+    name = model_key(key, factory)
 
     def run(batches):
-        model = loaded(key, factory)
+        model = loaded(name, factory)
         for pdf in batches:
-            for image, c in zip(pdf["image_id"], pdf["c"]):
+            for image, c in zip(pdf["k"], pdf["c"]):
                 got = model.detect(bytes(c))
-                yield got.assign(image_id=image, kp_idx=np.arange(len(got)))[["image_id", "kp_idx", "x", "y", "score", "desc"]]
+                if most is not None:
+                    got = got.sort_values("score", ascending=False, kind="stable").head(most)
+                yield got.assign(k=image, kp_idx=np.arange(len(got)))[["k", "kp_idx", "x", "y", "score", "desc"]]
+
+    return _keyed(images, key_col, content, run, "kp_idx int, x double, y double, score double, desc array<float>")
+
 
-    return images.select("image_id", F.col(content).alias("c")).filter("c is not null").mapInPandas(run, "image_id long, kp_idx int, x double, y double, score double, desc array<float>")
+def _keyed(images: DataFrame, key_col: str, content: str, run, schema: str) -> DataFrame:
+    rows = images.select(F.col(key_col).alias("k"), F.col(content).alias("c")).filter("c is not null")
+    return rows.mapInPandas(run, f"k {dict(rows.dtypes)['k']}, {schema}").withColumnRenamed("k", key_col)
