@@ -192,7 +192,7 @@ def parts_of_cell(ids: np.ndarray, own: np.ndarray, centre: np.ndarray, size: fl
     """Parts for a cell of which ``(ids, own)`` is a sample; ``size``: into how many tasks' worth of work it must be cut.
 
     With ends, the number of parts a row goes to is what pairs planted at the threshold around the sample need to share a part with
-    probability ``recall``, and there are so many ends that none gets more than twice a task's rows. Going to t of C parts, t grows far
+    probability ``recall``, and there are so many ends that none gets more than twice a task's rows or two fifths of the cell. Going to t of C parts, t grows far
     more slowly than C. Where most rows are at the threshold to one row, the pivot, spreading those costs less.
     """
     if size <= 1 or not len(own):
@@ -217,7 +217,7 @@ def parts_of_cell(ids: np.ndarray, own: np.ndarray, centre: np.ndarray, size: fl
         got.load = np.bincount(got.of(own, ids, centre)[1], minlength=c).max() / len(own) if near < c else 1.0
         if best is None or got.load < 0.8 * best.load:
             best = got
-        if got.load * size <= 2:
+        if got.load <= min(2 / size, 0.4):
             break
         c *= 2
     cheap = 1 - rest + rest * count <= best.near
