@@ -4,9 +4,8 @@ Encoding: every vector is a sum of one entry from each of ``BOOKS`` full-dimensi
 residuals of a bounded sample; codes are found by beam search. Kept per row are its codes, the norm of the decoded sum and the vector.
 
 Routing: rows go to the cell of the centre they are most similar to, once. A query visits the cells in the order of its similarity to their
-centres, as many as neighbours within the sample lie in with a share of ``REACH``; that is measured apart for queries of each
-of ``CLASSES`` classes of similarity to their best centre, so a query inside a dense region visits few cells and one that is like nothing
-may visit all. Large cells get more centres; what is still large is spread by id, and its queries go to every part.
+centres, as many as neighbours within the sample lie in (``cells.Routes``): few inside a dense region, up to all where nothing is near.
+Large cells get more centres; what is still large is spread by id, and its queries go to every part.
 
 Scoring: for a query the products with all codebook entries form lookup tables (two codebooks share one table), so
 the cosine with a decoded row is a sum of table entries over the stored norm. The best rows of each cell by that score are
@@ -21,14 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vistaforge.llm.vectors import ID, VEC, bounded_sample, coarse_centres, one_per_id, prepared, unit_rows
+from vistaforge.llm.vectors import ID, VEC, bounded_sample, one_per_id, prepared, unit_rows
+from vistaforge.operators.cells import Routes
 from vistaforge.session import written
 
 BOOKS, WORDS, BEAM = 16, 64, 4
 RERANK = 256
-REACH, CLASSES, TRIED = 0.97, 8, 2_000
 TASK_ROWS = 50_000
-NOWHERE = 0.5
 SCORES = 4_000_000
 
 
@@ -109,55 +107,6 @@ def _search_batch(qid, q, ids, v, codes, norms, books, k, rerank):
     return out[np.isfinite(out["sim"])]
 
 
-class Routes:
-    """Centres, how many cells a query visits by its similarity to the best of them, and the parts of each cell."""
-
-    def __init__(self, sample: np.ndarray, total: int, task_rows: int, k: int) -> None:
-        scale = total / len(sample)
-        self.centres = coarse_centres(sample)
-        home = self.order(sample)[:, 0] - 1
-        kept, rng = [], np.random.default_rng(89)
-        for c in range(-1, len(self.centres)):
-            own = np.flatnonzero(home == c)
-            more = min(len(own), int(2 * len(own) * scale / task_rows))
-            if more > 1:
-                kept.append(sample[rng.choice(own, more, replace=False)])
-            elif c >= 0:
-                kept.append(self.centres[c : c + 1])
-        self.centres = np.concatenate(kept) if kept else self.centres
-        order = self.order(sample)
-        self.parts = np.maximum(1, np.ceil(np.bincount(order[:, 0], minlength=order.shape[1]) * scale / task_rows).astype(np.int64))
-        tried = rng.permutation(len(sample))[:TRIED]
-        sims = sample[tried] @ sample.T
-        sims[np.arange(len(tried)), tried] = -2
-        near = np.argsort(-sims, axis=1)[:, : min(k, len(sample) - 1)]
-        place = np.argsort(order[tried], axis=1)
-        rank = np.take_along_axis(place, order[near, 0], axis=1)
-        best = self.best(sample[tried])
-        self.limits = np.quantile(best, np.arange(1, CLASSES) / CLASSES)
-        of = np.searchsorted(self.limits, best)
-        self.visits = np.array([int(np.quantile(rank[of == i], REACH, method="higher")) + 1 if (of == i).any() and rank.size else order.shape[1] for i in range(CLASSES)])
-
-    def best(self, v: np.ndarray) -> np.ndarray:
-        return (v @ self.centres.T).max(axis=1, initial=-1)
-
-    def order(self, v: np.ndarray) -> np.ndarray:
-        """(rows, cells): cells from the nearest on; cell 0 is that of rows near no centre."""
-        return np.argsort(-np.concatenate([np.full((len(v), 1), NOWHERE, np.float32), v @ self.centres.T], axis=1), axis=1, kind="stable")
-
-    def homes(self, v: np.ndarray) -> np.ndarray:
-        return np.where(self.best(v) > NOWHERE, (v @ self.centres.T).argmax(axis=1) + 1 if len(self.centres) else 0, 0)
-
-    def visited(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, cell, part) of all that the queries visit."""
-        n = self.visits[np.searchsorted(self.limits, self.best(v))]
-        row, at = np.nonzero(np.arange(len(self.parts))[None] < n[:, None])
-        cell = self.order(v)[row, at]
-        many = self.parts[cell]
-        part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return np.repeat(row, many), np.repeat(cell, many), part
-
-
 def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = ID, vec_col: str = VEC, rerank: int = RERANK, task_rows: int = TASK_ROWS) -> DataFrame:
     """``(query_id, rank, image_id, sim)``: for each id of ``queries`` the k other ids most similar to it.
 
@@ -180,8 +129,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = ID, vec_col
             at, v = unit_rows(pdf["vec"], dim)
             if len(at):
                 ids, cell, (codes, norms) = pdf["id"].to_numpy()[at], routes.homes(v), encode(v, books)
-                part = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % routes.parts[cell]
-                yield pd.DataFrame({"cell": cell, "part": part, "id": ids, "codes": [x.tobytes() for x in codes], "norm": norms, "v": [x.tobytes() for x in v]})
+                yield pd.DataFrame({"cell": cell, "part": routes.part_of(ids, cell), "id": ids, "codes": [x.tobytes() for x in codes], "norm": norms, "v": [x.tobytes() for x in v]})
 
     def asked(batches):
         for pdf in batches:

@@ -139,6 +139,16 @@ e AS MATERIALIZED (SELECT a.image_id AS a, b.image_id AS b FROM n a JOIN n b ON
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) """
 
 
+_P8 = r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT row_number() OVER () AS d, doc_id, l FROM t WHERE len(l) > 8),
+p AS (SELECT d, doc_id, len(l) AS n, unnest(range(1, len(l) - 6)) AS i, l FROM w),
+k AS (SELECT d, i, unnest(range(1, 9)) AS o, l[i : i + 7] AS x FROM p),
+h AS (SELECT d, i, o, hash(list_concat(x[1 : o - 1], ['*'], x[o + 1 : 8])) AS key FROM k),
+f AS (SELECT d, o, key, min(i) AS first FROM h GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT DISTINCT h.d, h.i FROM h JOIN f USING (d, o, key) WHERE h.i > first),
+c AS (SELECT d, count(DISTINCT i + s) AS n FROM r, range(0, 8) g(s) GROUP BY d) """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _chains(0.95) + "SELECT a AS image_id_a, b AS image_id_b FROM r WHERE a < b",
@@ -148,6 +158,7 @@ def oracle_sql() -> dict[str, str]:
 SELECT DISTINCT least(a, b) AS image_id_a, greatest(a, b) AS image_id_b FROM k""",
         "p5_found": _chains(0.70) + """, p AS (SELECT DISTINCT image_id FROM probe_images WHERE for_clusters)
 SELECT a AS image_id_a, b AS image_id_b FROM r WHERE a < b AND a IN (SELECT image_id FROM p) AND b IN (SELECT image_id FROM p)""",
+        "p8_found": _P8 + "SELECT DISTINCT doc_id FROM c JOIN w USING (d) WHERE c.n > len(l) / 2.0",
         "p2_leximin": _P2 + "SELECT query_id, image_id, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, image_id) AS rank, round(w[1], 6) AS weakest FROM f",
         "p2_found": _P2 + """SELECT query_id, image_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY
   list_transform(list_sort([w[1] + w[2] + w[3], w[1] + w[2] + w[4], w[1] + w[3] + w[4], w[2] + w[3] + w[4]]), lambda x: round(x / 3, 9)) DESC, image_id) <= 10""",
