@@ -220,8 +220,8 @@ def parts_of_cell(ids: np.ndarray, own: np.ndarray, centre: np.ndarray, size: fl
         if got.load <= min(2 / size, 0.4):
             break
         c *= 2
-    cheap = 1 - rest + rest * count <= best.near
-    return spread if cheap or best.load * size > 2 and best.load > spread.load else best
+    fair = spread.load <= max(best.load, min(2 / size, 0.4))
+    return spread if fair and 1 - rest + rest * count <= best.near or spread.load < best.load and best.load * size > 2 else best
 
 
 class Routes:

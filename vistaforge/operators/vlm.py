@@ -153,6 +153,21 @@ def collective_prompt(n: int, has_box: bool) -> str:
     return f"There are {last} images:\n" + "\n".join("- " + s for s in seen) + f"\n\nSay of every candidate whether it shows {what}, and whether larger (ZOOM_IN), smaller (ZOOM_OUT) or at the same scale.\nWrite exactly one line per candidate, in one of these forms:\n{forms}\n<conf> is from 0.1 to 1.0, k the number of the image. Write the lines for Image_{first} to Image_{last} and nothing else."
 
 
+def readable(candidates: DataFrame, load: Callable[[str], object | None]) -> DataFrame:
+    """The candidates whose picture ``load(path)`` gives; the others are in no call and so stay without a verdict."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[[load(p) is not None for p in pdf["path"]]]
+
+    return candidates.filter("path is not null").mapInPandas(run, candidates.schema)
+
+
+def with_pictures(model: Callable[[str, list], str], load: Callable[[str], object | None]) -> Callable[[str, list], str]:
+    """A backend that takes pictures as a model that takes paths, as ``ask`` and ``ask_each`` call it."""
+    return lambda prompt, paths: model(prompt, [load(p) for p in paths])
+
+
 def ask(candidates: DataFrame, model: Callable[[str, list], str], has_box: bool = False, size: int = CHUNK) -> DataFrame:
     """``(query_id, chunk, n_candidates, offset, response)``: one call per chunk of candidates ``(query_id, rank, image_id, path)``."""
 

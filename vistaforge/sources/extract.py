@@ -80,6 +80,8 @@ def local_features(images: DataFrame, key: str, factory: Callable[[], object], m
         for pdf in batches:
             for image, c in zip(pdf["k"], pdf["c"]):
                 got = model.detect(bytes(c))
+                if not len(got):
+                    continue
                 if most is not None:
                     got = got.sort_values("score", ascending=False, kind="stable").head(most)
                 yield got.assign(k=image, kp_idx=np.arange(len(got)))[["k", "kp_idx", "x", "y", "score", "desc"]]

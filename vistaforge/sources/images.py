@@ -202,6 +202,15 @@ def shown(query: np.ndarray, candidates: list[np.ndarray], box: tuple[int, int,
     return [capped(x) for x in first + candidates]
 
 
+def load(path: str) -> np.ndarray | None:
+    """The picture at a path, no longer than a model is shown, or None where there is none that can be read."""
+    try:
+        with open(path, "rb") as f:
+            return capped(decode(f.read()))
+    except (OSError, ValueError):
+        return None
+
+
 def pictures(files: DataFrame, content: str = "content") -> DataFrame:
     """``(image_id, h, w, thumbnail)``: size and thumbnail hash of every file ``(image_id, content)``, NULL where it cannot be read."""
 
