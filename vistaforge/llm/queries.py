@@ -141,8 +141,9 @@ r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 
 _P8 = r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 w AS (SELECT row_number() OVER () AS d, doc_id, l FROM t WHERE len(l) > 8),
-p AS (SELECT d, doc_id, len(l) AS n, unnest(range(1, len(l) - 6)) AS i, l FROM w),
-k AS (SELECT d, i, unnest(range(1, 9)) AS o, l[i : i + 7] AS x FROM p),
+u AS (SELECT d, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM w),
+v AS (SELECT d, i, list(x) OVER (PARTITION BY d ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS x FROM u),
+k AS (SELECT d, i, x, unnest(range(1, 9)) AS o FROM v WHERE len(x) = 8),
 h AS (SELECT d, i, o, hash(list_concat(x[1 : o - 1], ['*'], x[o + 1 : 8])) AS key FROM k),
 f AS (SELECT d, o, key, min(i) AS first FROM h GROUP BY ALL HAVING count(*) > 1),
 r AS (SELECT DISTINCT h.d, h.i FROM h JOIN f USING (d, o, key) WHERE h.i > first),

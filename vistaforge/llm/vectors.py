@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from vistaforge.operators.cells import ID, PLANTED, SAMPLE_ROWS, VEC, Parts, beside, bounded_sample, coarse_centres, local_roots, one_per_id, partners, prepared, sampled, unit_rows  # noqa: F401
 from vistaforge.session import written
 
+RIM, ORIGIN = 0.97, 4
+
 
 def copy_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(representatives, copies): one row ``(id, vec)`` per distinct vector, and ``(id, rep)`` for all others.
@@ -53,24 +55,35 @@ def similar_cells(sims: np.ndarray, low: float, up: float) -> tuple[np.ndarray,
 
 
 def cell_limits(sample: np.ndarray, centres: np.ndarray, directions: np.ndarray, threshold: float, recall: float) -> tuple[float, float]:
-    """(low, up) for ``similar_cells``: two rows below ``up`` to all centres meet in cell -1. Of two rows at the threshold one of which
-    has ``up`` or more to a centre, the other has ``low`` with probability ``recall``, by partners planted around rows at ``up`` exactly,
-    where it is least. Of several limits those are taken that put the sample's rows into fewest cells."""
+    """(low, up) for ``similar_cells``. Two rows below ``up`` to all centres meet in cell -1; if one of two rows at the threshold has ``up`` or
+    more to a centre, the other must have ``low``. For each of several ``up``, ``low`` is set so that of partners planted around rows at
+    ``up`` exactly, the worst place, ``RIM`` have it, and is lowered until of all pairs planted around the sample's rows a share of
+    ``recall`` shares a cell. Those are taken that put fewest of the sample's rows into cells, cell -1 counting more, since nothing in it is alike.
+    """
     if not len(centres):
         return 1.0, 2.0
     rng, best = np.random.default_rng(79), None
     c = centres[rng.integers(0, len(centres), PLANTED)]
     around, away = (sample[rng.integers(0, len(sample), PLANTED)] for _ in range(2))
-    sims = sample @ directions @ (centres @ directions).T
+    to_centres = directions @ (centres @ directions).T
+    sims, pair = sample @ to_centres, [x @ to_centres for x in partners(sample, threshold, 82)]
     for up in np.arange(0.6, 0.96, 0.05):
         b = beside(beside(c, around, up, 80), np.roll(away, 1, axis=0), threshold, 81)
-        low = float(np.quantile(((b @ directions) * (c @ directions)).sum(axis=1), 1 - recall))
-        cost = len(similar_cells(sims, low, up)[0])
+        low = float(np.quantile(((b @ directions) * (c @ directions)).sum(axis=1), 1 - RIM))
+        while _meet(*pair, low, up) < recall:
+            low -= 0.03
+        row, cell = similar_cells(sims, low, up)
+        cost = len(row) + ORIGIN * (cell == -1).sum()
         if best is None or cost < best[0]:
             best = (cost, low, float(up))
     return best[1:]
 
 
+def _meet(a: np.ndarray, b: np.ndarray, low: float, up: float) -> float:
+    """Share of the pairs, given by their similarities to the centres, that share a cell."""
+    return float((((a >= low) & (b >= low)).any(axis=1) | ((a.max(axis=1) < up) & (b.max(axis=1) < up))).mean())
+
+
 def with_pivot(way: Parts | None, ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows of a part, and the pivot where its group is spread over parts: all of them hold it, and so are merged."""
     if way is None or way.pivot is None:
