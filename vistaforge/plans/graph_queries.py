@@ -141,7 +141,7 @@ def _ranked(f, k=100):
     f = f.withColumn("f", F.round("f", 5))
     w = Window.partitionBy("query_id").orderBy(F.desc("f"), "image_id")
     ranked = f.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "image_id", "rank", F.round((2 + F.col("f")) / 2, 5).alias("score"))
+    return ranked.select("query_id", "image_id", "rank", F.round((2 + F.col("f")) / 2, 6).alias("score"))
 
 
 @query()
@@ -151,7 +151,7 @@ def diffusion_minres(spark, d):
 
 
 @query(_WN.replace("WITH s AS", f"WITH f0 AS (SELECT query_id, image_id, q AS f FROM ({_SEED}) WHERE r <= 50 AND q > 0), s AS") + "".join(_STEPS) + """, o AS (SELECT query_id, image_id, round(f, 5) AS f FROM f40)
-SELECT query_id, image_id, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, image_id) AS rank, round((2 + f) / 2, 5) AS score FROM o QUALIFY rank <= 100""")
+SELECT query_id, image_id, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, image_id) AS rank, round((2 + f) / 2, 6) AS score FROM o QUALIFY rank <= 100""")
 def diffusion_converged(spark, d):
     """The same by table iterations, for graphs of any size."""
     return _ranked(diffusion.neumann(_wn(spark, d), graph.query_seed(_vectors(spark, d), _seeds(spark, d)), rounds=40))

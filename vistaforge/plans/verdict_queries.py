@@ -8,15 +8,21 @@ from vistaforge.operators import vlm
 from vistaforge.plans.registry import query, table
 
 _CASES = ["ZOOM_IN 0.9", "ZOOM_IN <0.9>", "same 0.85", "IRRELEVANT", "zoom_out 7", "SAME 0.9.1", "it looks closer", "", "  Zoom_Out<.5> maybe", "not visible here", "similar scale", "IRRELEVANT 0.4", "wider view", "ZOOM_IN", "no idea", "SAME 1. and ZOOM_IN 0.2"]
-_ANSWER = {k: f"regexp_extract(r, '{vlm.ONE_ANSWER}', {i})" for k, i in (("cat", 1), ("conf", 2))}
+# The SQL has its own patterns, words and weights, so that a wrong one in the operators shows.
+_ANSWER = {"cat": r"regexp_extract(r, '(ZOOM_IN|ZOOM_OUT|SAME|IRRELEVANT)[[:space:]]*<?([0-9.]+)>?', 1)", "conf": r"regexp_extract(r, '(ZOOM_IN|ZOOM_OUT|SAME|IRRELEVANT)[[:space:]]*<?([0-9.]+)>?', 2)"}
+_LINE = "IMAGE_?([0-9]+)[[:space:]]*[:-][[:space:]]*(ZOOM_IN|ZOOM_OUT|SAME|IRRELEVANT)[[:space:]]*<?([0-9.]*)>?"
 
 
 def _clamp(text: str) -> str:
     return f"CASE WHEN TRY_CAST({text} AS DOUBLE) IS NULL THEN CASE WHEN c = 'irrelevant' THEN 0::DOUBLE ELSE 0.5::DOUBLE END ELSE least(greatest(TRY_CAST({text} AS DOUBLE), 0), 1) END"
 
 
-_KEY = " ".join("WHEN " + " OR ".join(f"contains(r, '{w}')" for w in words) + f" THEN '{name}'" for words, name, _ in vlm.KEYWORDS)
-_KEYCONF = " ".join("WHEN " + " OR ".join(f"contains(r, '{w}')" for w in words) + f" THEN {value}::DOUBLE" for words, _, value in vlm.KEYWORDS)
+_KEY = """WHEN contains(r, 'IRRELEVANT') OR contains(r, 'NOT VISIBLE') OR contains(r, 'NOT PRESENT') THEN 'irrelevant'
+WHEN contains(r, 'ZOOM_IN') OR contains(r, 'LARGER') OR contains(r, 'CLOSER') OR contains(r, 'BIGGER') THEN 'zoom_in'
+WHEN contains(r, 'ZOOM_OUT') OR contains(r, 'SMALLER') OR contains(r, 'FARTHER') OR contains(r, 'WIDER') THEN 'zoom_out'
+WHEN contains(r, 'SAME') OR contains(r, 'SIMILAR') THEN 'same'"""
+_KEYCONF = """WHEN regexp_matches(r, 'IRRELEVANT|NOT VISIBLE|NOT PRESENT') THEN 0::DOUBLE
+WHEN regexp_matches(r, 'ZOOM_IN|LARGER|CLOSER|BIGGER|ZOOM_OUT|SMALLER|FARTHER|WIDER|SAME|SIMILAR') THEN 0.5::DOUBLE"""
 _PARSE = f"""t AS (SELECT id, upper(trim(coalesce(response, ''))) AS r FROM responses),
 m AS (SELECT id, r, lower({_ANSWER['cat']}) AS c, {_ANSWER['conf']} AS n FROM t),
 parsed AS (SELECT id, CASE WHEN c <> '' THEN c ELSE CASE {_KEY} ELSE 'irrelevant' END END AS category, CASE WHEN c <> '' THEN {_clamp('n')} ELSE CASE {_KEYCONF} ELSE 0::DOUBLE END END AS confidence FROM m) """
@@ -48,7 +54,7 @@ _COLLECTIVE = [(0, "Image_2: ZOOM_IN <0.9>\nImage_3: irrelevant", 2, 2), (1, "Im
 
 
 @query("WITH r(id, response, n_candidates, off) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{t}', {n}, {o})" for i, t, n, o in _COLLECTIVE) + f"""),
-x AS (SELECT id, n_candidates, off, unnest(regexp_extract_all(upper(response), '{vlm.ANSWER_LINE}', 1)) AS k, unnest(regexp_extract_all(upper(response), '{vlm.ANSWER_LINE}', 2)) AS cat, unnest(regexp_extract_all(upper(response), '{vlm.ANSWER_LINE}', 3)) AS n, generate_subscripts(regexp_extract_all(upper(response), '{vlm.ANSWER_LINE}', 1), 1) AS pos FROM r),
+x AS (SELECT id, n_candidates, off, unnest(regexp_extract_all(upper(response), '{_LINE}', 1)) AS k, unnest(regexp_extract_all(upper(response), '{_LINE}', 2)) AS cat, unnest(regexp_extract_all(upper(response), '{_LINE}', 3)) AS n, generate_subscripts(regexp_extract_all(upper(response), '{_LINE}', 1), 1) AS pos FROM r),
 l AS (SELECT id, (k::INT - off) AS candidate, lower(cat) AS c, n, pos FROM x),
 w AS (SELECT id, candidate, arg_max(c, pos) AS category, arg_max({_clamp('n')}, pos) AS confidence FROM l GROUP BY id, candidate),
 every AS (SELECT id, unnest(range(0, n_candidates))::INT AS candidate FROM r)
@@ -57,7 +63,7 @@ def vlm_parse_collective(spark, d):
     return vlm.parse_collective(spark.createDataFrame(_COLLECTIVE, "id long, response string, n_candidates int, offset int"))
 
 
-_W = " ".join(f"WHEN '{c}' THEN {w}::DOUBLE" for c, w in vlm.WEIGHTS["vlm_zoom_in"].items())
+_W = "WHEN 'zoom_in' THEN 1::DOUBLE WHEN 'same' THEN 0.3::DOUBLE WHEN 'zoom_out' THEN 0.1::DOUBLE"
 
 
 @query(f"SELECT DISTINCT query_id, image_id, round((CASE category {_W} ELSE 0::DOUBLE END) * coalesce(confidence, 0), 6) AS zoom_in, round((CASE WHEN category IN ('zoom_in', 'zoom_out', 'same') THEN 1 ELSE 0 END) * coalesce(confidence, 0), 6) AS relevant FROM vlm_verdict")
