@@ -97,7 +97,7 @@ def minres(edges: DataFrame, seed: DataFrame, alpha: float = ALPHA, steps: int =
     return _in_one_task(edges, seed, lambda a, qs: [(k, minimum_residual(lambda x: x - alpha * (a @ x), b, steps)) for k, b in qs])
 
 
-def conjugate_residual(edges: DataFrame, seed: DataFrame, alpha: float = ALPHA, steps: int = 10, cut_every: int = 2) -> DataFrame:
+def conjugate_residual(edges: DataFrame, seed: DataFrame, alpha: float = ALPHA, steps: int = 10) -> DataFrame:
     """``(query_id, image_id, f)``: the iterates of ``minres`` by two-term recurrences on tables.
 
     A step is one product with the graph, two aggregations to a scalar per query, and joins of these few scalars; the residual of I - alpha Wn,
@@ -115,7 +115,6 @@ def conjugate_residual(edges: DataFrame, seed: DataFrame, alpha: float = ALPHA,
         s = s.select("query_id", "image_id", "rar", (F.col("x") + F.col("a") * F.col("p")).alias("x"), (F.col("r") - F.col("a") * F.col("ap")).alias("r"), "p", "ap")
         if i == steps:
             break
-        s = cut(s) if i % cut_every == 0 else s
         ar = apply(s.select("query_id", "image_id", F.col("r").alias("f"))).withColumnRenamed("f", "ar")
         s = s.join(ar, ["query_id", "image_id"], "full").fillna(0.0, ["x", "r", "p", "ap", "ar"])
         new = s.groupBy("query_id").agg(F.sum(F.col("r") * F.col("ar")).alias("new"), F.max("rar").alias("old"))
