@@ -1,6 +1,6 @@
 """The k most similar vectors by additive quantisation and exact reranking.
 
-Encoding: every vector is a sum of one entry from each of ``BOOKS`` full-dimensional codebooks, trained level by level on the
+Encoding: every vector is its cell's centre and a sum of one entry from each of ``BOOKS`` full-dimensional codebooks, trained level by level on the
 residuals of a bounded sample; codes are found by beam search. Kept per row are its codes, the norm of the decoded sum and the vector.
 
 Routing: rows go to the cell of the centre they are most similar to, once. A query visits the cells in the order of its similarity to their
@@ -15,6 +15,8 @@ per query and cell visited. Every row is encoded; the plan is the same for any n
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,7 +27,7 @@ from vistaforge.operators.cells import Routes
 from vistaforge.session import written
 
 BOOKS, WORDS, BEAM = 16, 64, 4
-RERANK = 256
+RERANK, RERANK_SHARE = 256, 0.25
 TASK_ROWS = 50_000
 SCORES = 4_000_000
 
@@ -50,14 +52,14 @@ def train_codebooks(sample: np.ndarray, books: int = BOOKS, words: int = WORDS,
     return np.stack(out)
 
 
-def encode(v: np.ndarray, books: np.ndarray, beam: int = BEAM, chunk: int = 1_024) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, norm of the decoded sum) by beam search: word w turns a partial code with residual r and error e
+def encode(v: np.ndarray, books: np.ndarray, beam: int = BEAM, chunk: int = 1_024, centre: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of v - centre, norm of centre and decoded sum) by beam search: word w turns a partial code with residual r and error e
     into one with error e - 2 r.w + |w|^2; the ``beam`` partial codes of least error go on."""
     m, words, dim = books.shape
     size = (books * books).sum(axis=2)
     all_codes, norms = np.empty((len(v), m), np.uint8), np.empty(len(v), np.float32)
     for at in range(0, len(v), chunk):
-        x = v[at : at + chunk]
+        x = v[at : at + chunk] - (centre[at : at + chunk] if isinstance(centre, np.ndarray) else centre)
         n = len(x)
         rest, err, codes = x[:, None, :], np.zeros((n, 1), np.float32), np.empty((n, 1, 0), np.uint8)
         for k in range(m):
@@ -70,7 +72,7 @@ def encode(v: np.ndarray, books: np.ndarray, beam: int = BEAM, chunk: int = 1_02
             codes = np.concatenate([codes[row, parent], word[:, :, None].astype(np.uint8)], axis=2)
             rest = rest[row, parent] - books[k][word]
         all_codes[at : at + n] = codes[:, 0]
-        norms[at : at + n] = np.linalg.norm(x - rest[:, 0], axis=1)
+        norms[at : at + n] = np.linalg.norm(v[at : at + n] - rest[:, 0], axis=1)
     return all_codes, norms
 
 
@@ -90,13 +92,12 @@ def table_scores(q: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.
     return out / np.maximum(norms, 1e-9)
 
 
-def _search_batch(qid, q, ids, v, codes, norms, books, k, rerank):
-    found = []
-    step = int(np.clip(SCORES // max(len(v), 1), 1, 128))
+def _search_cell(qid, q, ids, v, codes, norms, books, centre, k, rerank):
+    found, r = [], min(len(v), max(rerank, math.ceil(RERANK_SHARE * len(v))))
+    step = int(np.clip(SCORES // (len(v) + r * v.shape[1]), 1, 128))
     for at in range(0, len(q), step):
         some, own = q[at : at + step], qid[at : at + step]
-        approx = table_scores(some, books, codes, norms)
-        r = min(rerank, approx.shape[1])
+        approx = (table_scores(some, books, codes, np.ones_like(norms)) + (some @ centre)[:, None]) / np.maximum(norms, 1e-9)
         top = np.argpartition(-approx, r - 1, axis=1)[:, :r] if r < approx.shape[1] else np.broadcast_to(np.arange(r), (len(some), r))
         exact = np.einsum("qrd,qd->qr", v[top], some)
         exact[ids[top] == own[:, None]] = -np.inf
@@ -112,7 +113,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = ID, vec_col
 
     ``queries`` has a column ``query_id`` of ids of ``df``; NULL, unknown and unusable ones give no rows, repeated ones
     count once. A repeated id is one record; of equal similarities any may come out, ordered by id. Fewer than k others in the cells
-    visited give fewer rows; empty tables give none. ``rerank`` rows per query and cell are compared exactly (measured recall is in the README).
+    visited give fewer rows; empty tables give none. ``rerank`` rows per query and cell, or ``RERANK_SHARE`` of the
+    cell where that is more, are compared exactly (measured recall is in the README).
     """
     spark = df.sparkSession
     rows = one_per_id(prepared(df, id_col, vec_col))
@@ -122,13 +124,16 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = ID, vec_col
     schema = "query_id long, id long, sim double"
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, image_id long, sim double")
-    dim, books, routes = sample.shape[1], train_codebooks(sample), Routes(sample, total, task_rows, k)
+    dim, routes = sample.shape[1], Routes(sample, total, task_rows, k)
+    middles = np.concatenate([np.zeros((1, dim), np.float32), routes.centres])
+    books = train_codebooks(sample - middles[routes.homes(sample)])
 
     def encoded(batches):
         for pdf in batches:
             at, v = unit_rows(pdf["vec"], dim)
             if len(at):
-                ids, cell, (codes, norms) = pdf["id"].to_numpy()[at], routes.homes(v), encode(v, books)
+                ids, cell = pdf["id"].to_numpy()[at], routes.homes(v)
+                codes, norms = encode(v, books, centre=middles[cell])
                 yield pd.DataFrame({"cell": cell, "part": routes.part_of(ids, cell), "id": ids, "codes": [x.tobytes() for x in codes], "norm": norms, "v": [x.tobytes() for x in v]})
 
     def asked(batches):
@@ -145,7 +150,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = ID, vec_col
             return pd.DataFrame({"query_id": [], "id": [], "sim": []}).astype({"query_id": np.int64, "id": np.int64})
         codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1)
         v, q = (np.frombuffer(b"".join(x["v"]), np.float32).reshape(len(x), -1) for x in (left, right))
-        return _search_batch(right["id"].to_numpy(), q, left["id"].to_numpy(), v, codes, left["norm"].to_numpy(), books, k, rerank)
+        return _search_cell(right["id"].to_numpy(), q, left["id"].to_numpy(), v, codes, left["norm"].to_numpy(), books, middles[int(key[0])], k, rerank)
 
     index = rows.mapInPandas(encoded, "cell int, part int, id long, codes binary, norm float, v binary")
     visits = rows.join(wanted, "id", "left_semi").mapInPandas(asked, "cell int, part int, id long, v binary")
