@@ -235,7 +235,7 @@ class Routes:
     def __init__(self, sample: np.ndarray, total: int, task_rows: int, k: int) -> None:
         scale = total / len(sample)
         self.centres = coarse_centres(sample)
-        home = self.order(sample)[:, 0] - 1
+        home = self.homes(sample) - 1
         kept, rng = [], np.random.default_rng(89)
         for c in range(-1, len(self.centres)):
             own = np.flatnonzero(home == c)
@@ -245,18 +245,20 @@ class Routes:
             elif c >= 0:
                 kept.append(self.centres[c : c + 1])
         self.centres = np.concatenate(kept) if kept else self.centres
-        order = self.order(sample)
-        self.parts = np.maximum(1, np.ceil(np.bincount(order[:, 0], minlength=order.shape[1]) * scale / task_rows).astype(np.int64))
-        tried = rng.permutation(len(sample))[:TRIED]
-        sims = sample[tried] @ sample.T
-        sims[np.arange(len(tried)), tried] = -2
-        near = np.argsort(-sims, axis=1)[:, : min(k, len(sample) - 1)]
-        place = np.argsort(order[tried], axis=1)
-        rank = np.take_along_axis(place, order[near, 0], axis=1)
+        home, cells = self.homes(sample), len(self.centres) + 1
+        self.parts = np.maximum(1, np.ceil(np.bincount(home, minlength=cells) * scale / task_rows).astype(np.int64))
+        tried, wanted, rank = rng.permutation(len(sample))[:TRIED], min(k, len(sample) - 1), []
+        for i in range(0, len(tried) if wanted else 0, 200):
+            some = tried[i : i + 200]
+            sims = sample[some] @ sample.T
+            sims[np.arange(len(some)), some] = -2
+            near = np.argpartition(-sims, wanted - 1, axis=1)[:, :wanted]
+            rank.append(np.take_along_axis(np.argsort(self.order(sample[some]), axis=1), home[near], axis=1))
+        rank = np.concatenate(rank) if rank else np.empty((len(tried), 0), np.int64)
         best = self.best(sample[tried])
         self.limits = np.quantile(best, np.arange(1, CLASSES) / CLASSES)
         of = np.searchsorted(self.limits, best)
-        self.visits = np.array([int(np.quantile(rank[of == i], REACH, method="higher")) + 1 if (of == i).any() and rank.size else order.shape[1] for i in range(CLASSES)])
+        self.visits = np.array([int(np.quantile(rank[of == i], REACH, method="higher")) + 1 if (of == i).any() and rank.size else cells for i in range(CLASSES)])
 
     def best(self, v: np.ndarray) -> np.ndarray:
         return (v @ self.centres.T).max(axis=1, initial=-1)
