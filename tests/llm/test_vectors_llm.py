@@ -62,6 +62,20 @@ def test_near_duplicates_agree_with_brute_force(spark, task_rows):
     assert all(r["image_id_a"] < r["image_id_b"] for r in pairs) and len(pairs) == sum(k * (k - 1) // 2 for k in map(list(got.values()).count, many))
 
 
+def test_near_duplicates_at_unlike_distances_from_the_centre_are_all_found(spark):
+    rng, dim = np.random.default_rng(12), 96
+    away = lambda n: (u := np.insert(rng.normal(size=(n, dim - 1)), 0, 0, axis=1)) / np.linalg.norm(u, axis=1, keepdims=True)
+    at = lambda cosine, u: cosine * np.eye(dim)[0] + np.sqrt(1 - cosine**2) * u
+    a, u = away(300), away(300)
+    u -= (a * u).sum(axis=1, keepdims=True) * a
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    rows = np.concatenate([at(0.929, a), at(0.979, 0.55 * a + np.sqrt(1 - 0.55**2) * u), at(0.89, away(3_900))])
+    good = {i: v.astype(np.float32).astype(float) for i, v in enumerate(rows)}
+    want = brute_groups(good, 0.95)
+    got = {r["image_id"]: r["group_id"] for r in neardup.near_duplicate_groups(frame(spark, [(i, v, "a") for i, v in good.items()])).collect()}
+    assert got == {i: r for i, r in want.items() if list(want.values()).count(r) > 1} and len(got) >= 600
+
+
 @pytest.mark.parametrize("rows", [15_000, 500_000, 4_000_000])
 @pytest.mark.parametrize("cosine", [0.925, 0.9])
 def test_pairs_at_the_threshold_meet_in_cells_of_any_size(rows, cosine):
