@@ -113,6 +113,19 @@ def test_a_third_in_two_altered_pieces_is_found_and_chained_stock_is_not(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (2, 2)}
 
 
+def test_stock_phrases_are_counted_over_all_documents(spark):
+    stock = [words(12, 800 + k) for k in range(3)]
+    item = words(30, 810) + stock[0] + stock[1] + stock[2] + words(34, 811)
+    # ids that a sample of 4,000 rows by this hash leaves out
+    ids = [r["id"] for r in spark.range(12_000).filter("pmod(xxhash64(23, id), 1000000) >= 333333").limit(90).collect()]
+    texts = {i: words(8, 40_000 + i) for i in range(12_000)}
+    texts |= {i: words(30, 60_000 + i) + stock[n % 3] + words(30, 70_000 + i) for n, i in enumerate(ids)}
+    texts |= {20_000: words(60, 820) + stock[0] + stock[1] + stock[2] + words(60, 821), 20_001: words(60, 822) + item[:40] + words(60, 823)}
+    asked = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = leakage.leaked_items(docs(spark, [(i, " ".join(w), "s") for i, w in texts.items()]), asked).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(20_001, 7)]
+
+
 def test_items_and_documents_of_any_length_meet_in_their_sketches():
     rng, met = np.random.default_rng(0), []
     for n in (10, 100, 5_000, 100_000):

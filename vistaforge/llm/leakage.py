@@ -14,12 +14,12 @@ word. A stretch so goes on over single altered words,
 however short it is, and ends where a stock phrase ends, the names and clauses between those being other words. An item counts as
 found if one or two pieces hold ``share`` of its words.
 
-Stock phrases are shingles of an item that many documents have which hold little else of it (counted over a sample of documents, so an
+Stock phrases are shingles of an item that many documents have which hold little else of it (counted over all documents; an
 item that leaked into many documents is none). They make no meeting, and what is found must have
 ``OWN`` of its words outside of them unless it is ``LONG`` of the item, more than stock phrases in one order give.
 
 Items are a stated, small set: their table of shingle hashes is broadcast in blocks of at most ``BLOCK_SHINGLES``.
-Documents are read once per block, whole, without a shuffle of texts.
+Documents are read twice per block, once to count stock phrases, whole, without a shuffle of texts.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ SHARE = 0.32
 MEETINGS, LEAST_CLASS = 2, 8
 GAP, STEP, DRIFT = 26, 12, 18
 ALTERED, BESIDE, PART = 2, 15, 0.3
-STOCK_SAMPLE, STOCK_SHARE, STOCK_LEAST, STOCK_HELD, OWN, LONG = 4_000, 0.002, 3, 0.25, 0.15, 0.42
+STOCK_SHARE, STOCK_LEAST, STOCK_HELD, OWN, LONG = 0.002, 3, 0.25, 0.15, 0.42
 BLOCK_SHINGLES = 2_000_000
 
 
@@ -238,9 +238,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, share: float = SHARE, doc_id
     size = asked.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(size / 5 / BLOCK_SHINGLES))
     n_docs = docs.count() if size else 0
-    sampled = min(1.0, STOCK_SAMPLE / max(n_docs, 1))
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit(23), "id"), F.lit(1_000_000)) < round(sampled * 1_000_000))
-    often = max(STOCK_LEAST, STOCK_SHARE * sampled * n_docs)
+    often = max(STOCK_LEAST, STOCK_SHARE * n_docs)
     out = spark.createDataFrame([], "doc_id long, item_id long, estimate double, containment double, share double")
     for b in range(blocks if size else 0):
         block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").toPandas()
@@ -256,7 +254,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, share: float = SHARE, doc_id
                     n[plain.value.poor(text, cache)] += 1
             yield pd.DataFrame({"at": np.flatnonzero(n), "n": n[n > 0]})
 
-        counts = sample.mapInPandas(count_poor, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") >= often).toPandas()
+        counts = rows.mapInPandas(count_poor, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") >= often).toPandas()
         stock = np.zeros(len(table.stock), bool)
         stock[counts["at"].to_numpy(np.int64)] = True
         table.mark_stock(stock)
