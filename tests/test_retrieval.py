@@ -121,3 +121,39 @@ def test_conjugate_residual_on_tables_is_minres(spark):
     one, two = ({(r["query_id"], r["image_id"]): r["f"] for r in f.collect()} for f in (diffusion.minres(wn, seed, steps=6), diffusion.diffuse(wn, seed, steps=6, task_edges=1)))
     assert all(abs(f - two.get(k, 0.0)) < 1e-6 for k, f in one.items()) and two.keys() <= one.keys()
     assert diffusion.conjugate_residual(wn, seed.limit(0), steps=3).count() == 0
+
+
+def test_products_hold_the_greatest_with_ties_and_floors():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 16)).astype(np.float32)
+    x[100:700] = x[100]
+    ids, q = rng.permutation(900) + 5, np.concatenate([x[:40], 1e3 * x[90:110], 1e-4 * x[700:720]]).astype(np.float64)
+    value = np.round(q @ x.T.astype(np.float64), 6)
+    for k in (3, 50, 1_000):
+        want = [sorted(zip(-row, ids))[:k] for row in value]
+        for floor in (np.full(len(q), -np.inf), np.array([-w[-1][0] for w in want])):
+            row, found, got, rank = knn.leading(*knn.products(q, ids, x, floor, k), k)
+            assert [list(zip(-got[row == i], found[row == i])) for i in range(len(q))] == want
+            assert all((rank[row == i] == np.arange(1, len(w) + 1)).all() for i, w in enumerate(want))
+
+
+def test_routed_neighbours_shuffle_each_row_once(spark):
+    """Queries that visit many cells, and what they find there, stay in their task."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c + 0.3 * rng.normal(size=(100, 24)) for c in rng.normal(size=(12, 24))] + [rng.normal(size=(800, 24))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())], "image_id long, embedding array<double>")
+    twice, once = (knn.routed_topk(f, 20, task_rows=100) for f in (df, df.dropDuplicates(["image_id"])))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    assert once.groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("r")).agg(F.max("n"), F.sum(F.expr("int(n <> r)")), F.count("*")).first()[:] == (20, 0, 2_000)
+    assert all(abs(r["value"] - x[r["query_id"]] @ x[r["image_id"]]) < 1e-4 for r in once.collect()[::20])
+    assert twice.groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("r")).filter("n > 20 or r <> n").count() == 0
+    assert twice.dtypes == once.dtypes
+
+
+def test_one_description_of_each_image(spark):
+    from vistaforge.operators.cells import one_per_id
+
+    rows = spark.createDataFrame([(1, [1.0], 5), (1, [2.0], 3), (1, [3.0], None), (2, [4.0], None), (3, [5.0], 1), (4, None, 1), (4, [6.0], 2)], "id long, vec array<double>, at long")
+    assert sorted(tuple(r) for r in one_per_id(rows, "at").collect()) == [(1, [2.0]), (3, [5.0]), (4, None)]

@@ -6,13 +6,18 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistaforge.functions.vectors import l2_distance, shortlist_score
 from vistaforge.operators.cells import Routes, bounded_sample, prepared, unit_rows
+from vistaforge.session import written
 
 QUERY_BLOCK = 4_096
+#: Scores held at once, and pairs of vectors gathered at once, by a task of ``routed_topk``.
+SCORES, EXACT = 10_000_000, 50_000
 
 
 def l2_shortlist(df: DataFrame, query: list[float], k: int, id_col: str = "image_id", vec_col: str = "embedding") -> DataFrame:
@@ -89,37 +94,116 @@ def blocked_topk(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "image_id", value.alias("value"), "rank")
 
 
+def stored_rows(file: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, float32 matrix) of a Parquet file ``(id, v)`` in the shared folder."""
+    place, path = fs.FileSystem.from_uri(file)
+    with place.open_input_file(path) as f:
+        rows = pq.ParquetFile(f).read(columns=["id", "v"])
+    ids, v = rows["id"].to_numpy(), rows["v"].combine_chunks()
+    ends = np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1]
+    return ids, np.frombuffer(v.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(len(v), -1)
+
+
+def leading(row: np.ndarray, ids: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, value, rank) of the ``k`` greatest values of every row, ties to the least id, in order."""
+    order = np.lexsort((ids, -value, row))
+    row, ids, value = row[order], ids[order], value[order]
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    rank = np.arange(len(row)) - np.repeat(starts, np.diff(starts, append=len(row))) + 1
+    kept = rank <= k
+    return row[kept], ids[kept], value[kept], rank[kept]
+
+
+def products(q: np.ndarray, ids: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, value): for every query all rows of ``x`` whose product with it, rounded to six digits, is among the ``k`` greatest and not
+    under its ``floor``, and some others. Products in single precision leave out what is certainly not, the others are computed exactly."""
+    n, groups, out = len(x), 4 * k, []
+    size, longest = np.sqrt(np.einsum("ij,ij->i", q, q)), math.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64).max())
+    a, b = (q / size[:, None]).astype(np.float32), (x / longest).astype(np.float32)
+    error, step = 2.5e-7 * x.shape[1] + 1e-6 / (size * longest), max(1, SCORES // n)
+    for i in range(0, len(q), step):
+        score, low = a[i : i + step] @ b.T, floor[i : i + step] / (size[i : i + step] * longest)
+        if n >= groups:
+            # the k-th of the greatest of each group is no greater than the k-th of all
+            tops = score[:, : n // groups * groups].reshape(len(score), -1, groups).max(axis=1)
+            low = np.maximum(low, np.partition(tops, groups - k, axis=1)[:, groups - k])
+        row, col = np.divmod(np.flatnonzero(score >= (low - error[i : i + step]).astype(np.float32)[:, None]), n)
+        if len(row) > score.size // 16:
+            at = np.arange(len(score))
+            all_of = top_pairs(at, q[i : i + step], ids, q[i : i + step] @ x.T.astype(np.float64), k)
+            found = tuple(all_of[c].to_numpy() for c in ("query_id", "image_id", "value"))
+        else:
+            parts = [np.einsum("ij,ij->i", q[i + row[j : j + EXACT]], x[col[j : j + EXACT]].astype(np.float64)) for j in range(0, len(row), EXACT)]
+            found = row, ids[col], np.round(np.concatenate(parts), 6) if parts else np.empty(0)
+            if len(row) > groups * len(score):
+                found = leading(*found, k)[:3]
+        out.append((found[0] + i, *found[1:]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def routed_topk(df: DataFrame, k: int, id_col: str = "image_id", vec_col: str = "embedding", task_rows: int = 20_000) -> DataFrame:
     """``(query_id, image_id, value, rank)``: the ``k`` rows of greatest dot product for every row, itself included, among those of the cells
-    that it visits (``cells.Routes``; some neighbours of rows that are like few others are missed). Rows are shuffled once and again for
-    every cell they visit as a query; products are exact, one matrix product a cell. Unusable vectors are left out.
+    that it visits (``cells.Routes``; some neighbours of rows that are like few others are missed). Rows are shuffled once, into a file for
+    every part of a cell in the shared folder. A task has up to ``QUERY_BLOCK`` rows of a file as queries, or several small files, and reads the files that they visit, one
+    after the other, so neither queries nor what they find are shuffled. Values are exact. Unusable vectors are left out.
     """
-    rows = prepared(df, id_col, vec_col)
+    spark, rows, schema = df.sparkSession, prepared(df, id_col, vec_col), "query_id long, image_id long, value double, rank int"
     total = df.count()
     sample = bounded_sample(rows, total)
     if not len(sample):
-        return df.sparkSession.createDataFrame([], "query_id long, image_id long, value double, rank int")
+        return spark.createDataFrame([], schema)
     routes, dim = Routes(sample, total, task_rows, k), sample.shape[1]
 
     def place(batches):
         for pdf in batches:
             at, v = unit_rows(pdf["vec"], dim)
-            ids, raw = pdf["id"].to_numpy()[at], [np.asarray(pdf["vec"].iloc[i], np.float64).tobytes() for i in at]
-            for i in range(0, len(at), 1_024):
-                some, own = v[i : i + 1_024], ids[i : i + 1_024]
-                home = routes.homes(some)
-                row, cell, part = routes.visited(some)
-                yield pd.DataFrame({"cell": home, "part": routes.part_of(own, home), "asks": False, "id": own, "v": raw[i : i + len(some)]})
-                yield pd.DataFrame({"cell": cell, "part": part, "asks": True, "id": own[row], "v": [raw[i + r] for r in row]})
-
-    def multiply(key, pdf):
-        x, asks, ids = np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(len(pdf), -1), pdf["asks"].to_numpy(), pdf["id"].to_numpy()
-        q, qid, v, out = x[asks], ids[asks], x[~asks], [pd.DataFrame({"query_id": [], "image_id": [], "value": []})]
-        for i in range(0, len(q) if len(v) else 0, 512):
-            out.append(top_pairs(qid[i : i + 512], q[i : i + 512], ids[~asks], q[i : i + 512] @ v.T, k))
-        return pd.concat(out)
-
-    met = rows.mapInPandas(place, "cell int, part int, asks boolean, id long, v binary").groupBy("cell", "part").applyInPandas(multiply, "query_id long, image_id long, value double")
+            if len(at):
+                ids, home = pdf["id"].to_numpy()[at], routes.homes(v)
+                yield pd.DataFrame({"cell": home, "part": routes.part_of(ids, home), "id": ids, "v": [np.asarray(pdf["vec"].iloc[i], np.float32).tobytes() for i in at]})
+
+    index = written(rows.mapInPandas(place, "cell int, part int, id long, v binary"), "cell", "part")
+    files: dict[tuple[int, int], list[str]] = {}
+    tasks, room, least = [], 0, min(QUERY_BLOCK, total // (4 * spark.sparkContext.defaultParallelism))
+    for r in index.select("cell", "part", F.col("_metadata.file_path").alias("file")).groupBy("cell", "part", "file").count().orderBy("cell", "part", "file").collect():
+        files.setdefault((r["cell"], r["part"]), []).append(r["file"])
+        for i in range(0, r["count"], QUERY_BLOCK):
+            if room <= 0:
+                tasks.append([])
+                room = least
+            tasks[-1].append((r["file"], r["cell"], i))
+            room -= min(QUERY_BLOCK, r["count"] - i)
+    sent = spark.sparkContext.broadcast((routes, files, tasks))
+
+    def search(batches):
+        routes, files, tasks = sent.value
+        for pdf in batches:
+            for file, home, start in (block for i in pdf["id"] for block in tasks[i]):
+                qid, v = (x[start : start + QUERY_BLOCK] for x in stored_rows(file))
+                q = v.astype(np.float64)
+                yield found_by(qid, q, home, *routes.visited((q / np.sqrt((q * q).sum(axis=1))[:, None]).astype(np.float32)), files)
+
+    def found_by(qid, q, home, query, cell, part, files):
+        best, floor = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)), np.full(len(q), -np.inf)
+        waiting, many = [], 0
+        order = np.lexsort((part, cell, cell != home))
+        query, cell, part = query[order], cell[order], part[order]
+        starts = np.flatnonzero(np.r_[True, (np.diff(cell) != 0) | (np.diff(part) != 0)]) if len(cell) else []
+        groups = [(query[i:j], files.get((int(cell[i]), int(part[i])), [])) for i, j in zip(starts, [*starts[1:], len(cell)])]
+        for at, some in groups:
+            for file in some:
+                got = products(q[at], *stored_rows(file), floor[at], k)
+                waiting.append((at[got[0]], *got[1:]))
+                many += len(got[0])
+                if many > len(best[0]):
+                    best = leading(*(np.concatenate(c) for c in zip(best[:3], *waiting)), k)
+                    floor[best[0][best[3] == k]] = best[2][best[3] == k]
+                    waiting, many = [], 0
+        row, ids, value, rank = leading(*(np.concatenate(c) for c in zip(best[:3], *waiting)), k)
+        return pd.DataFrame({"query_id": qid[row], "image_id": ids, "value": value, "rank": rank.astype(np.int32)})
+
+    met = spark.range(0, len(tasks), 1, max(1, len(tasks))).mapInPandas(search, schema)
+    if not index.groupBy("id").count().filter("count > 1").limit(1).count():
+        return met
     w = Window.partitionBy("query_id").orderBy(F.desc("value"), "image_id")
     return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

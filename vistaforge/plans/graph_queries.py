@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vistaforge.functions import vectors as V
 from vistaforge.operators import diffusion, graph, knn
+from vistaforge.operators.cells import one_per_id
 from vistaforge.plans.registry import query, table
 from vistaforge.session import cut
 
@@ -194,7 +195,8 @@ def full_ranking(spark, d):
 @query()
 def routed_graph(spark, d):
     """The kernel graph of all image descriptors, rows compared within the cells they visit."""
-    g = table(spark, d, "global_desc").groupBy("image_id").agg(F.min_by("global_descs", "described_at").alias("v"))
+    described = table(spark, d, "global_desc").select(F.col("image_id").alias("id"), F.col("global_descs").alias("vec"), "described_at")
+    g = one_per_id(described.filter("id is not null"), "described_at").withColumnsRenamed({"id": "image_id", "vec": "v"})
     clean = g.filter("size(v) = 96").filter(~F.exists("v", lambda x: F.isnan(x) | x.isNull()) & (V.dot("v", "v") > 1e-12)).select("image_id", V.l2_normalize("v").alias("embedding"))
     return graph.kernel_edges(clean, 50, exact_rows=0)
 
